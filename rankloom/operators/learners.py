@@ -1,0 +1,157 @@
+"""Learners on Spark ML: factorisation machine, boosted trees, boosted ranking.
+
+Categorical columns are indexed and unseen values kept as their own slot, so a
+fitted pipeline scores any split.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import FMClassifier, GBTClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions.scalars import category_text
+from rankloom.operators.metrics import evaluate
+from rankloom.operators.splits import fold_of
+from rankloom.session import checkpoint_dir
+
+
+def as_text(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """Categories as strings, missing ones as 'NA'."""
+    return df.withColumns({c: category_text(c) for c in cats})
+
+
+def _indexers(cats: Sequence[str]) -> list:
+    if not cats:
+        return []
+    return [StringIndexer(inputCols=list(cats), outputCols=[f"{c}_ix" for c in cats], handleInvalid="keep")]
+
+
+def fm_pipeline(cats: Sequence[str], label: str, factors: int = 16, iterations: int = 40, lr: float = 0.05,
+                l2: float = 1e-6, seed: int = 0) -> Pipeline:
+    """Second-order factorisation machine over one-hot fields, logistic loss."""
+    hot = OneHotEncoder(inputCols=[f"{c}_ix" for c in cats], outputCols=[f"{c}_hot" for c in cats],
+                        handleInvalid="keep")
+    x = VectorAssembler(inputCols=[f"{c}_hot" for c in cats], outputCol="features")
+    fm = FMClassifier(labelCol=label, featuresCol="features", factorSize=factors, maxIter=iterations,
+                      stepSize=lr, regParam=l2, seed=seed)
+    return Pipeline(stages=[*_indexers(cats), hot, x, fm])
+
+
+def gbt_pipeline(cats: Sequence[str], nums: Sequence[str], label: str, weight: str | None = None,
+                 iterations: int = 20, depth: int = 5, lr: float = 0.05, feature_fraction: str = "0.9",
+                 subsample: float = 0.9, max_bins: int = 64, seed: int = 0) -> Pipeline:
+    """Gradient-boosted trees, pointwise logistic loss."""
+    inputs = [f"{c}_ix" for c in cats] + list(nums)
+    x = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=lr,
+                        featureSubsetStrategy=feature_fraction, subsamplingRate=subsample, maxBins=max_bins, seed=seed)
+    if weight:
+        gbt = gbt.setWeightCol(weight)
+    return Pipeline(stages=[*_indexers(cats), x, gbt])
+
+
+def predict(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
+    """Probability of the positive class; ``df``'s own columns are kept."""
+    p = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    return p.select(*df.columns, out)
+
+
+def save_and_score(model: PipelineModel, path: str, df: DataFrame) -> DataFrame:
+    """Score a split with a model read back from storage."""
+    model.write().overwrite().save(path)
+    return predict(PipelineModel.load(path), df)
+
+
+def out_of_fold(
+    train: DataFrame, others: DataFrame, pipeline: Callable[[int], Pipeline], folds: int = 5, seed: int = 0,
+    unit: str = "row_id", out: str = "score",
+) -> DataFrame:
+    """Scores that no row helped to fit: K models for train, one full model for the rest."""
+    folded = fold_of(train, folds, seed, unit).cache()
+    parts = [predict(pipeline(0).fit(train), others, out)]
+    for f in range(folds):
+        model = pipeline(100 + f).fit(folded.where(F.col("fold") != f))
+        parts.append(predict(model, folded.where(F.col("fold") == f).drop("fold"), out))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
+def importances(spark: SparkSession, model: PipelineModel, names: Sequence[str], top: int = 25) -> DataFrame:
+    """Feature importance table, best ``top`` first; one row per feature."""
+    values = model.stages[-1].featureImportances.toArray()
+    rows = [(n, float(v)) for n, v in zip(names, values)]
+    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature").limit(top)
+
+
+def iteration_metrics(
+    pipeline_at: Callable[[int], Pipeline], grid: Sequence[int], train: DataFrame, valid: DataFrame,
+    user: str, label: str, ties: Sequence[str],
+) -> DataFrame:
+    """Protocol on validation for each iteration count of ``grid``."""
+    parts = None
+    for n in grid:
+        scored = predict(pipeline_at(n).fit(train), valid).withColumn("iterations", F.lit(n))
+        parts = scored if parts is None else parts.unionByName(scored)
+    return evaluate(parts, ["iterations"], user, label, "score", ties)
+
+
+def early_stop(metrics: DataFrame, patience: int, eps: float = 1e-5) -> DataFrame:
+    """Best iteration count before ``patience`` rounds without a gain above ``eps``.
+
+    One row per evaluated iteration count, so the ordered scan is tiny.
+    """
+    rows = sorted((r["iterations"], r["primary_score"]) for r in metrics.select("iterations", "primary_score").collect())
+    best, best_at, bad = float("-inf"), None, 0
+    for it, v in rows:
+        if v > best + eps:
+            best, best_at, bad = v, it, 0
+        else:
+            bad += 1
+            if bad >= patience:
+                break
+    return metrics.sparkSession.createDataFrame([(best_at, best)], "best_iter int, primary_score double")
+
+
+def boost_ranker(
+    train: DataFrame, others: DataFrame, cats: Sequence[str], nums: Sequence[str], objective: Callable[[DataFrame], DataFrame],
+    rounds: int = 3, lr: float = 0.1, depth: int = 4, seed: int = 0, row_id: str = "row_id",
+) -> DataFrame:
+    """Boosted trees on a list-aware objective; returns ``others`` with ``score``.
+
+    Each round fits a tree to -gradient / Hessian weighted by the Hessian, so a
+    leaf's value is the Newton step of its rows.  Scores are checkpointed after
+    every round: a lost executor costs one round and the plan does not grow.
+    """
+    spark = train.sparkSession
+    checkpoint_dir(spark)
+    prep = Pipeline(stages=[
+        *_indexers(cats),
+        VectorAssembler(inputCols=[f"{c}_ix" for c in cats] + list(nums), outputCol="features", handleInvalid="keep"),
+    ]).fit(train)
+    keep = [c for c in dict.fromkeys([*train.columns])]
+    cur = prep.transform(train).select(*keep, "features").withColumn("score", F.lit(0.0)).checkpoint()
+    out = prep.transform(others).select(*others.columns, "features").withColumn("score", F.lit(0.0))
+    for r in range(rounds):
+        g = objective(cur).select(row_id, "lambda", "hessian")
+        target = cur.join(g, row_id).where("hessian > 0").select(
+            "features", (-F.col("lambda") / F.col("hessian")).alias("_t"), F.col("hessian").alias("_w")
+        )
+        tree = DecisionTreeRegressor(
+            featuresCol="features", labelCol="_t", weightCol="_w", predictionCol="_p", maxDepth=depth, maxBins=64,
+            seed=seed + r,
+        ).fit(target)
+
+        def grow(d: DataFrame) -> DataFrame:
+            return tree.transform(d).withColumn("score", F.col("score") + lr * F.col("_p")).drop("_p")
+
+        cur, out = grow(cur).checkpoint(), grow(out)
+    return out.drop("features")
