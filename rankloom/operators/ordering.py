@@ -91,7 +91,7 @@ def _window_columns(df: DataFrame, keys: Sequence[str], w: WindowSpec, p: Prefix
     return df.withColumns(new)
 
 
-def _with_segments(
+def with_segments(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], skew: Skew
 ) -> DataFrame:
     """Add ``_seg``: non-decreasing in (order, first tie column) within a key.
@@ -126,8 +126,15 @@ def _with_segments(
     return out.withColumn("_seg", seg).drop("_cuts", "_rows", "_lo", "_hi")
 
 
-def _carry(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], p: Prefix) -> DataFrame:
-    """One Prefix over rows that already carry ``_seg``."""
+def carry_prefix(
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], p: Prefix, base: DataFrame | None = None
+) -> DataFrame:
+    """One Prefix over rows that already carry ``_seg``.
+
+    ``base`` is where the per-segment totals are read from: the same rows before
+    columns were added that this Prefix does not need, which keeps plans of
+    several independent prefixes small.
+    """
     cells = [*keys, "_seg"]
     w = Window.partitionBy(*cells).orderBy(order, *ties)
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -146,7 +153,7 @@ def _carry(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],
     if p.total:
         carried[f"_c_{p.total}"] = F.sum("_n").over(whole)
     carried |= {f"_c_{o}": F.sum(f"_t_{o}").over(whole) for o in p.totals}
-    offsets = df.groupBy(*cells).agg(*aggs).withColumns(carried).select(*cells, *carried)
+    offsets = (df if base is None else base).groupBy(*cells).agg(*aggs).withColumns(carried).select(*cells, *carried)
 
     local = Prefix(number="__at", sums=p.sums, maxes=p.maxes, previous=p.previous)
     rows = _window_columns(df, cells, w, local).join(offsets, cells)
@@ -171,9 +178,9 @@ def segmented_prefix(
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """The heavy road on its own: every key of ``df`` is cut into segments."""
-    out = _with_segments(df, keys, order, ties, skew)
+    out = with_segments(df, keys, order, ties, skew)
     for p in steps:
-        out = _carry(out, keys, order, ties, p)
+        out = carry_prefix(out, keys, order, ties, p)
         if p.then:
             out = p.then(out)
     return out.drop("_seg")

@@ -16,9 +16,10 @@ from rankloom.operators.ordering import (
     Prefix,
     Skew,
     by_weight,
+    carry_prefix,
     ordered_prefix,
-    segmented_prefix,
     windowed_prefix,
+    with_segments,
 )
 
 # Silence that ends a session, and the recency of a key never seen.
@@ -80,10 +81,14 @@ def session_features(
         return d
 
     def heavy(d: DataFrame) -> DataFrame:
-        d = segmented_prefix(d, keys, "time_us", ["row_id"], steps, skew)
-        for out, key in seen.items():
-            d = ordered_prefix(d, [*keys, "date", key], "time_us", ["row_id"], counter(out), skew)
-        return d
+        # segments of the user's time line are segments of any finer key as well
+        base = out = with_segments(d, keys, "time_us", ["row_id"], skew)
+        for p in steps:
+            out = p.then(carry_prefix(out, keys, "time_us", ["row_id"], p))
+        for name, key in seen.items():
+            p = counter(name)
+            out = p.then(carry_prefix(out, [*keys, "date", key], "time_us", ["row_id"], p, base))
+        return out.drop("_seg")
 
     return by_weight(df, keys, light, heavy, skew)
 
