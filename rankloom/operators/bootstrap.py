@@ -49,7 +49,7 @@ def paired_deltas(resamples: DataFrame, by: Sequence[str]) -> DataFrame:
     return wide.select(*by, "rep", F.explode(pairs).alias("metric", "delta"))
 
 
-def summarise(deltas: DataFrame, by: Sequence[str], skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def summarise(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean, 2.5 and 97.5 percentile and share of resamples at or below zero."""
     keys = [*by, "metric"]
     flat = deltas.groupBy(*keys).agg(
@@ -57,7 +57,8 @@ def summarise(deltas: DataFrame, by: Sequence[str], skew: Skew = DEFAULT_SKEW) -
         F.avg((F.col("delta") <= 0).cast("double")).alias("p_le_0"),
         F.count(F.lit(1)).alias("reps"),
     )
-    q = exact_quantiles(deltas, keys, "delta", [0.025, 0.975], skew)
+    # one value per resample and metric
+    q = exact_quantiles(deltas, keys, "delta", [0.025, 0.975], skew=None)
     return flat.join(q, keys).select(
         *keys, "mean", F.col("quantiles")[0].alias("lo95"), F.col("quantiles")[1].alias("hi95"), "p_le_0", "reps"
     )

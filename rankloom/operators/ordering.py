@@ -2,16 +2,16 @@
 
 A plain ``Window.partitionBy(key).orderBy(...)`` puts each key into one task.
 That is the right plan for ordinary keys and the wrong one for a key that holds
-a third of the log, so every ordered operator here takes two roads:
+a third of the log.  Every ordered operator here therefore asks first, with one
+map-side-combined count, how large the largest key is:
 
-* keys up to ``rows_per_task`` rows go through the plain window (one shuffle);
-* heavier keys are cut into segments along the order column, the window runs
-  per (key, segment), and a small table of per-segment totals carries the
-  prefix from one segment to the next.
+* if all keys fit a task, the plan is the plain window (one shuffle);
+* otherwise the few large keys are split off and written to the checkpoint
+  folder, cut into segments along the order column, and windowed per
+  (key, segment); a small table of per-segment totals carries the prefix from
+  one segment to the next.
 
-The heavy road yields exactly the same values.  When no key is heavy, adaptive
-execution finds the broadcast side empty and drops that road from the plan, so
-the usual cost is one counting pass with map-side combine.
+Both roads yield exactly the same values.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rankloom.session import checkpoint_dir
+
 
 @dataclass(frozen=True)
 class Skew:
@@ -53,22 +55,25 @@ def by_weight(
     keys: Sequence[str],
     light: Callable[[DataFrame], DataFrame],
     heavy: Callable[[DataFrame], DataFrame],
-    skew: Skew = DEFAULT_SKEW,
+    skew: Skew | None = DEFAULT_SKEW,
 ) -> DataFrame:
     """Run ``light`` on ordinary keys and ``heavy`` on the large ones.
 
-    Fewer than ``rows / rows_per_task`` keys can be large, which bounds the
-    broadcast table.
+    The probe brings back a single number.  Fewer than ``rows / rows_per_task``
+    keys can be large, which bounds the broadcast table; their rows are
+    checkpointed because ``heavy`` reads them several times.  ``skew=None``
+    states that groups are small by construction and skips the probe.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > skew.rows_per_task)
-        .select(*keys)
-    )
-    small = light(df.join(F.broadcast(hot), list(keys), "left_anti"))
-    large = heavy(df.join(F.broadcast(hot), list(keys), "left_semi"))
-    return small.unionByName(large)
+    if skew is None:
+        return light(df)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None or largest <= skew.rows_per_task:
+        return light(df)
+    checkpoint_dir(df.sparkSession)
+    hot = sizes.where(F.col("_rows") > skew.rows_per_task).select(*keys).checkpoint()
+    large = df.join(F.broadcast(hot), list(keys), "left_semi").checkpoint()
+    return light(df.join(F.broadcast(hot), list(keys), "left_anti")).unionByName(heavy(large))
 
 
 def _window_columns(df: DataFrame, keys: Sequence[str], w: WindowSpec, p: Prefix) -> DataFrame:
@@ -204,7 +209,7 @@ def ordered_prefix(
     order: str,
     ties: Sequence[str] = (),
     steps: Sequence[Prefix] | Prefix = (),
-    skew: Skew = DEFAULT_SKEW,
+    skew: Skew | None = DEFAULT_SKEW,
 ) -> DataFrame:
     """Positions, running sums, maxima and lags by key, safe for keys of any size.
 
@@ -222,7 +227,7 @@ def ordered_prefix(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], skew: Skew = DEFAULT_SKEW
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], skew: Skew | None = DEFAULT_SKEW
 ) -> DataFrame:
     """Linear-interpolated quantiles by key: one row per key with array ``quantiles``.
 

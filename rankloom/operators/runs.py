@@ -54,10 +54,11 @@ def primary_of(*candidates: Column) -> Column:
 
 def running_best(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Best value of earlier rows and the difference to it; null on the first row."""
+    # an experiment series is as long as the number of iterations run
     with_prev = ordered_prefix(df, keys, order, (), [
         Prefix(maxes={"_upto": value}),
         Prefix(previous={"best_before": "_upto"}),
-    ])
+    ], skew=None)
     return with_prev.withColumn("delta", F.col(value) - F.col("best_before")).drop("_upto")
 
 

@@ -44,12 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
     (tests, a laptop) is a folder of our own chosen.
     """
+    current = spark.sparkContext.getCheckpointDir()
+    if current is not None:
+        return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    spark.sparkContext.setCheckpointDir(named)
     return named
