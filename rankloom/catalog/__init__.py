@@ -1,6 +1,14 @@
 """Every operator as a query over the driver tables."""
 
-from rankloom.catalog import blend_queries, item_queries, metric_queries, scalar_queries, stat_queries, window_queries  # noqa: F401
+from rankloom.catalog import (  # noqa: F401
+    blend_queries,
+    item_queries,
+    learner_queries,
+    metric_queries,
+    scalar_queries,
+    stat_queries,
+    window_queries,
+)
 from rankloom.catalog.registry import ORACLES, QUERIES
 
 
