@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from rankloom.catalog.blend_queries import SCORES, model_scores
 from rankloom.catalog.metric_queries import POP, popularity_scored, rounded_protocol
 from rankloom.catalog.registry import IMP, query, r6, rounded
+from rankloom.catalog.scalar_queries import item_statistics
+from rankloom.functions.scalars import item_stat_columns
 from rankloom.operators import checks as C
 from rankloom.operators import gradients as G
 from rankloom.operators import learners as L
 from rankloom.operators import metrics as M
 from rankloom.operators import splits as P
 from rankloom.operators import stats as S
+from rankloom.plans.features import build_features
 from rankloom.session import checkpoint_dir
-from rankloom.sources.views import impressions
+from rankloom.sources.views import impressions, table
 
-CATS = ["tab", "author_id"]
+CATS = ["tab"]
 NUMS = ["duration_ms", "hour", "dow", "v_lv_rate", "u_lv_rate"]
 
 
@@ -33,12 +36,39 @@ def scored_protocol(scored):
     return rounded_protocol(M.evaluate(scored, ["split"], "user_id", "long_view", "score", ["row_id"]))
 
 
+@query("feature_table")
+def feature_table(spark, sf_dir):
+    """All features the log alone gives, train rows past-only."""
+    return build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]))
+
+
+@query("feature_table_sides", """SELECT row_id, duration_ms, round(ln(1 + duration_ms), 6) + 0.0 AS log_dur, hour, dow, tab,
+  round(s_like_rate, 6) + 0.0 AS s_like_rate, round(s_show_cnt, 6) + 0.0 AS s_show_cnt, video_type, user_active_degree
+FROM imp LEFT JOIN (SELECT item, ln(1 + show_cnt) AS s_show_cnt, like_cnt / greatest(show_cnt, 1) AS s_like_rate FROM
+    (SELECT l_partkey AS item, count(*) AS show_cnt, count(CASE WHEN l_quantity > 45 THEN 1 END) AS like_cnt FROM lineitem GROUP BY l_partkey))
+    ON item = video_id
+  LEFT JOIN (SELECT p_partkey, p_type AS video_type FROM part) ON p_partkey = video_id
+  LEFT JOIN (SELECT c_custkey, c_mktsegment AS user_active_degree FROM customer) ON c_custkey = user_id""", (IMP,))
+def feature_table_sides(spark, sf_dir):
+    """Base columns with item, item-statistic and user side tables joined."""
+    items = table(spark, sf_dir, "part", "p_partkey", "p_type").select(
+        F.col("p_partkey").cast("int").alias("video_id"), F.col("p_type").alias("video_type"))
+    cols = item_stat_columns()
+    stats = item_statistics(spark, sf_dir).select(F.col("item").cast("int").alias("video_id"),
+                                                  *[cols[c].alias(c) for c in ("s_show_cnt", "s_like_rate")])
+    users = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("user_active_degree"))
+    f = build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), ("base", "vside", "vstat", "uside"),
+                       items=items, item_stats=stats, users=users)
+    return rounded(f.drop("split", "user_id", "video_id", "date", "long_view", "tag1"), "log_dur", "s_like_rate", "s_show_cnt")
+
+
 @query("fm_scores")
 def fm_scores(spark, sf_dir):
     """Factorisation machine over user, item, author and tab; protocol per split."""
     cats = ["user_id", "video_id", "author_id", "tab"]
     rows = L.as_text(impressions(spark, sf_dir), cats).select("row_id", "split", "user_id", "long_view", *cats[1:])
-    model = L.fm_pipeline(cats, "long_view", factors=4, iterations=5).fit(rows.where("split = 'train'"))
+    model = L.fm_pipeline(cats, "long_view", factors=4, iterations=5, slots=1 << 14).fit(rows.where("split = 'train'"))
     return scored_protocol(L.predict(model, rows.where("split <> 'train'")))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +34,26 @@ def _indexers(cats: Sequence[str]) -> list:
 
 
 def fm_pipeline(cats: Sequence[str], label: str, factors: int = 16, iterations: int = 40, lr: float = 0.05,
-                l2: float = 1e-6, seed: int = 0) -> Pipeline:
-    """Second-order factorisation machine over one-hot fields, logistic loss."""
-    hot = OneHotEncoder(inputCols=[f"{c}_ix" for c in cats], outputCols=[f"{c}_hot" for c in cats],
-                        handleInvalid="keep")
-    x = VectorAssembler(inputCols=[f"{c}_hot" for c in cats], outputCol="features")
+                l2: float = 1e-6, slots: int = 1 << 18, seed: int = 0) -> Pipeline:
+    """Second-order factorisation machine over hashed one-hot fields, logistic loss.
+
+    Hashing bounds the model by ``slots`` whatever the number of users and
+    items, and gives unseen values a slot; no vocabulary passes the driver.
+    """
+    x = FeatureHasher(inputCols=list(cats), categoricalCols=list(cats), outputCol="features", numFeatures=slots)
     fm = FMClassifier(labelCol=label, featuresCol="features", factorSize=factors, maxIter=iterations,
                       stepSize=lr, regParam=l2, seed=seed)
-    return Pipeline(stages=[*_indexers(cats), hot, x, fm])
+    return Pipeline(stages=[x, fm])
 
 
 def gbt_pipeline(cats: Sequence[str], nums: Sequence[str], label: str, weight: str | None = None,
                  iterations: int = 20, depth: int = 5, lr: float = 0.05, feature_fraction: str = "0.9",
                  subsample: float = 0.9, max_bins: int = 64, seed: int = 0) -> Pipeline:
-    """Gradient-boosted trees, pointwise logistic loss."""
+    """Gradient-boosted trees, pointwise logistic loss.
+
+    ``cats`` have at most ``max_bins`` values; columns with more enter as target
+    statistics instead.
+    """
     inputs = [f"{c}_ix" for c in cats] + list(nums)
     x = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=lr,

@@ -93,19 +93,25 @@ def session_features(
     return by_weight(df, keys, light, heavy, skew)
 
 
-def days_since(rows: DataFrame, train: DataFrame, key: str, out: str, day: str = "dayord") -> DataFrame:
+def days_since(
+    rows: DataFrame, train: DataFrame, key: str, out: str, day: str = "dayord", exposures: DataFrame | None = None
+) -> DataFrame:
     """Days since the key was last seen on a strictly earlier day, 99 if never.
 
+    ``exposures`` is the plain log behind ``rows``; naming it keeps the columns
+    ``rows`` has gained out of the look-up table's plan.
+
     Train rows look into train; rows of another split look into train and into
     their own split.  The as-of join runs over distinct (split, key, day)
     triples, so a key contributes at most one row per day.
     """
-    others = rows.where("split <> 'train'").select("split").distinct()
+    log = rows if exposures is None else exposures
+    others = log.where("split <> 'train'").select("split").distinct()
     seen = train.select(key, day).distinct()
     # one copy of the train days per other split; the split table has a handful of rows
     names = others.agg(F.collect_set("split").alias("s")).scalar()
     pool = seen.select(F.explode(F.concat(F.array(F.lit("train")), names)).alias("split"), key, day)
-    stream = pool.unionByName(rows.select("split", key, day)).distinct()
+    stream = pool.unionByName(log.select("split", key, day)).distinct()
     w = Window.partitionBy("split", key).orderBy(day)
     last = stream.withColumn("_last", F.lag(day).over(w))
     return (
