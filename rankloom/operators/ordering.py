@@ -142,7 +142,7 @@ def carry_prefix(
     """
     cells = [*keys, "_seg"]
     w = Window.partitionBy(*cells).orderBy(order, *ties)
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [F.count(F.lit(1)).alias("__cell_rows")]
     aggs += [F.sum(c).alias(f"_s_{o}") for o, c in p.sums.items()]
     aggs += [F.max(c).alias(f"_m_{o}") for o, c in p.maxes.items()]
     aggs += [F.max_by(c, F.struct(order, *ties)).alias(f"_l_{o}") for o, c in p.previous.items()]
@@ -151,12 +151,12 @@ def carry_prefix(
     seg = Window.partitionBy(*keys).orderBy("_seg")
     before = seg.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carried = {"_c_n": F.coalesce(F.sum("_n").over(before), F.lit(0))}
+    carried = {"__carry_no": F.coalesce(F.sum("__cell_rows").over(before), F.lit(0))}
     carried |= {f"_c_{o}": F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)) for o in p.sums}
     carried |= {f"_c_{o}": F.max(f"_m_{o}").over(before) for o in p.maxes}
     carried |= {f"_c_{o}": F.lag(f"_l_{o}").over(seg) for o in p.previous}
     if p.total:
-        carried[f"_c_{p.total}"] = F.sum("_n").over(whole)
+        carried[f"_c_{p.total}"] = F.sum("__cell_rows").over(whole)
     carried |= {f"_c_{o}": F.sum(f"_t_{o}").over(whole) for o in p.totals}
     offsets = (df if base is None else base).groupBy(*cells).agg(*aggs).withColumns(carried).select(*cells, *carried)
 
@@ -164,7 +164,7 @@ def carry_prefix(
     rows = _window_columns(df, cells, w, local).join(offsets, cells)
     new: dict[str, Column] = {}
     if p.number:
-        new[p.number] = F.col("__at") + F.col("_c_n")
+        new[p.number] = F.col("__at") + F.col("__carry_no")
     new |= {o: F.col(o) + F.col(f"_c_{o}") for o in p.sums}
     new |= {o: F.greatest(F.col(o), F.col(f"_c_{o}")) for o in p.maxes}
     new |= {o: F.when(F.col("__at") == 1, F.col(f"_c_{o}")).otherwise(F.col(o)) for o in p.previous}
