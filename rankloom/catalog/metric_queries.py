@@ -76,7 +76,8 @@ def rounded_protocol(df):
 def protocol(spark, sf_dir):
     """Popularity fitted on train, official protocol on valid and test."""
     return rounded_protocol(
-        M.evaluate(popularity_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ["row_id"])
+        M.evaluate(popularity_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ["row_id"],
+                   probe=impressions(spark, sf_dir, ["valid", "test"]))
     )
 
 
@@ -85,7 +86,8 @@ def protocol(spark, sf_dir):
 def protocol_orders(spark, sf_dir):
     """Same over order lines: many users, large catalogue."""
     return rounded_protocol(
-        M.evaluate(orders_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ORDER_TIES)
+        M.evaluate(orders_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ORDER_TIES,
+                   probe=order_impressions(spark, sf_dir).where("split <> 'train'"))
     )
 
 
@@ -94,7 +96,8 @@ def protocol_orders(spark, sf_dir):
        (IMP, POP, pieces_cte("pieces", "pop", "split, user_id", "row_id")))
 def auc_by_user(spark, sf_dir):
     """Tie-corrected AUC per list, 0.5 for a single class."""
-    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"])
+    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"],
+                      probe=impressions(spark, sf_dir, ["valid", "test"]))
     return p.select("split", "user_id", "n", "npos", r6(F.coalesce("auc", F.lit(0.5))).alias("auc"))
 
 
@@ -102,7 +105,8 @@ def auc_by_user(spark, sf_dir):
        (IMP, POP, pieces_cte("pieces", "pop", "split, user_id", "row_id")))
 def ndcg_by_user(spark, sf_dir):
     """nDCG@5 per list, 0 without a positive."""
-    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"])
+    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"],
+                      probe=impressions(spark, sf_dir, ["valid", "test"]))
     return p.select("split", "user_id", "npos", r6("ndcg").alias("ndcg_at_5"))
 
 
@@ -111,7 +115,8 @@ def ndcg_by_user(spark, sf_dir):
 FROM pieces GROUP BY split""", (IMP, POP, pieces_cte("pieces", "pop", "split, user_id", "row_id")))
 def gauc(spark, sf_dir):
     """Positive-weighted mean AUC over lists with both classes."""
-    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"])
+    p = M.user_pieces(popularity_scored(spark, sf_dir), ["split", "user_id"], "long_view", "score", ["row_id"],
+                      probe=impressions(spark, sf_dir, ["valid", "test"]))
     mixed = F.col("auc").isNotNull()
     return p.groupBy("split").agg(
         r6(M.protocol_columns()[0]).alias("gauc"),
@@ -138,7 +143,8 @@ fast AS (
 def fast_protocol(spark, sf_dir):
     """Protocol without tie correction."""
     return rounded_protocol(
-        M.fast_evaluate(popularity_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ["row_id"])
+        M.fast_evaluate(popularity_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ["row_id"],
+                        probe=impressions(spark, sf_dir, ["valid", "test"]))
     )
 
 

@@ -52,6 +52,7 @@ def user_pieces(
     ties: Sequence[str],
     k: int = 5,
     skew: Skew = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """One row per list: ``n, npos, auc`` (null for a single class) and ``ndcg``.
 
@@ -100,7 +101,7 @@ def user_pieces(
     n, npos = F.col("n"), F.col("npos")
     # ranks were counted from the best score down; Mann-Whitney wants them from the worst up
     u = npos * (n + 1) - F.col("_ranks") - npos * (npos + 1) / 2
-    return by_weight(df, keys, light, heavy, skew).select(
+    return by_weight(df, keys, light, heavy, skew, probe).select(
         *keys,
         "n",
         "npos",
@@ -137,9 +138,13 @@ def evaluate(
     ties: Sequence[str],
     k: int = 5,
     skew: Skew = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
-    """The official protocol, one row per combination of ``by``."""
-    pieces = user_pieces(df, [*by, user], label, score, ties, k, skew)
+    """The official protocol, one row per combination of ``by``.
+
+    ``probe`` is a cheaper table with the lists' keys and sizes (see ``by_weight``).
+    """
+    pieces = user_pieces(df, [*by, user], label, score, ties, k, skew, probe)
     return pieces.groupBy(*by).agg(*protocol_columns(k=k))
 
 
@@ -152,11 +157,12 @@ def fast_evaluate(
     ties: Sequence[str],
     k: int = 5,
     skew: Skew = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Same protocol with ranks broken by row order instead of averaged."""
     keys = [*by, user]
     y = F.col(label)
-    up = ordered_prefix(df, keys, score, ties, Prefix(number="_rank"), skew).groupBy(*keys).agg(
+    up = ordered_prefix(df, keys, score, ties, Prefix(number="_rank"), skew, probe).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(y).cast("long").alias("npos"),
         F.sum(y * F.col("_rank")).alias("_ranks"),

@@ -56,6 +56,7 @@ def by_weight(
     light: Callable[[DataFrame], DataFrame],
     heavy: Callable[[DataFrame], DataFrame],
     skew: Skew | None = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``light`` on ordinary keys and ``heavy`` on the large ones.
 
@@ -63,10 +64,12 @@ def by_weight(
     keys can be large, which bounds the broadcast table; their rows are
     checkpointed because ``heavy`` reads them several times.  ``skew=None``
     states that groups are small by construction and skips the probe.
+    ``probe`` may name a cheaper table with the same keys and row counts, such
+    as the log that ``df`` added columns to.
     """
     if skew is None:
         return light(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0]
     if largest is None or largest <= skew.rows_per_task:
         return light(df)
@@ -210,6 +213,7 @@ def ordered_prefix(
     ties: Sequence[str] = (),
     steps: Sequence[Prefix] | Prefix = (),
     skew: Skew | None = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Positions, running sums, maxima and lags by key, safe for keys of any size.
 
@@ -223,6 +227,7 @@ def ordered_prefix(
         lambda d: windowed_prefix(d, keys, order, ties, chain),
         lambda d: segmented_prefix(d, keys, order, ties, chain, skew),
         skew,
+        probe,
     )
 
 

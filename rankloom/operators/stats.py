@@ -177,20 +177,27 @@ def tag_affinity(
     )
 
 
+def _item_counts(pool: DataFrame, item: str, label: str) -> tuple[DataFrame, Column]:
+    """Positives and rows by item, and the pool mean taken from the same aggregate."""
+    g = pool.groupBy(item).agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_c"))
+    return g, g.agg((F.sum("_s") / F.sum("_c")).alias("m")).scalar()
+
+
 def popularity(pool: DataFrame, item: str, label: str, prior: float = PRIOR) -> DataFrame:
     """Smoothed positive rate by item."""
-    g = pool.groupBy(item).agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    return g.select(item, smooth(F.col("_s"), F.col("_c"), pool_mean(pool, label), prior).alias("pop_score"))
+    g, mean = _item_counts(pool, item, label)
+    return g.select(item, smooth(F.col("_s"), F.col("_c"), mean, prior).alias("pop_score"))
 
 
 def score_popularity(
     rows: DataFrame, pool: DataFrame, item: str, label: str, score: str = "score", prior: float = PRIOR
 ) -> DataFrame:
     """Popularity of the row's item; unseen items get the pool mean."""
-    fitted = popularity(pool, item, label, prior)
-    return rows.join(fitted, item, "left").withColumn(
-        score, F.coalesce("pop_score", pool_mean(pool, label))
-    ).drop("pop_score")
+    g, mean = _item_counts(pool, item, label)
+    rate = smooth(F.coalesce("_s", F.lit(0)), F.coalesce("_c", F.lit(0)), mean, prior)
+    return rows.join(g, item, "left").withColumn(
+        score, F.when(F.col("_c").isNull(), mean).otherwise(rate)
+    ).drop("_s", "_c")
 
 
 def history_maps(
