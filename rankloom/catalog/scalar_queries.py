@@ -236,7 +236,7 @@ def content_age(spark, sf_dir):
 # Item statistics of the order log: every raw count the rate features are made of.
 ITEM_COUNTS = {
     "show_cnt": "count(*)", "play_cnt": "count(CASE WHEN l_returnflag <> 'N' THEN 1 END)",
-    "play_user_num": "count(DISTINCT l_suppkey)", "play_progress": "avg(l_discount)",
+    "play_user_num": "count(DISTINCT l_suppkey)", "play_progress": "avg(CAST(round(l_discount * 100) AS BIGINT)) / 100",
     **{c: f"count(CASE WHEN l_linenumber = {i} THEN 1 END)" for i, c in enumerate(
         ["complete_play_cnt", "long_time_play_cnt", "short_time_play_cnt", "valid_play_cnt"], start=1)},
     **{c: f"count(CASE WHEN l_quantity > {45 - 5 * i} THEN 1 END)" for i, c in enumerate(
