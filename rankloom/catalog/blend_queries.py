@@ -111,7 +111,8 @@ SWEEP = """sweep AS (
 def blend_sweep(spark, sf_dir):
     """Click metrics over blend weights on raw and per-user z scores."""
     v = wide_scores(spark, sf_dir)
-    m = B.weight_sweep(v, ["split"], "user_id", "is_click", "item", "author", ["row_id"]).drop("split")
+    m = B.weight_sweep(v, ["split"], "user_id", "is_click", "item", "author", ["row_id"],
+                       probe=impressions(spark, sf_dir, ["valid"])).drop("split")
     return rounded(m, "ndcg_at_10", "ndcg_at_5", "recall_at_50", "score")
 
 
@@ -122,8 +123,10 @@ points AS (SELECT time_coef, pop_coef, user_id, row_id, is_click, zi + time_coef
 @query("rerank_grid", click_sql("time_coef, pop_coef", "points", "row_id", "is_click"), (IMP, SCORES, WIDE, GRID))
 def rerank_grid(spark, sf_dir):
     """Click metrics over 11 x 9 re-rank coefficients."""
-    v = ordered_prefix(wide_scores(spark, sf_dir), ["split", "user_id"], "time_us", ["row_id"], Prefix(number="time_rank"))
-    m = B.rerank_grid(v, ["split"], "user_id", "is_click", "item", "author", "time_rank", ["row_id"]).drop("split")
+    v = ordered_prefix(wide_scores(spark, sf_dir), ["split", "user_id"], "time_us", ["row_id"], Prefix(number="time_rank"),
+                       probe=impressions(spark, sf_dir, ["valid"]))
+    m = B.rerank_grid(v, ["split"], "user_id", "is_click", "item", "author", "time_rank", ["row_id"],
+                      probe=impressions(spark, sf_dir, ["valid"])).drop("split")
     return rounded(m, "ndcg_at_10", "ndcg_at_5", "recall_at_50", "score")
 
 

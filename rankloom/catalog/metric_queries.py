@@ -168,7 +168,8 @@ FROM (SELECT {by}, avg(d10 / i10) AS ndcg10, avg(d5 / i5) AS ndcg5, avg(hits / n
 @query("v0_metrics", click_sql("split", "pop", "row_id", "is_click"), (IMP, POP))
 def v0_metrics(spark, sf_dir):
     """Click protocol: nDCG@10, nDCG@5, recall@50 over users with a positive."""
-    m = M.click_metrics(popularity_scored(spark, sf_dir), ["split"], "user_id", "is_click", "score", ["row_id"])
+    m = M.click_metrics(popularity_scored(spark, sf_dir), ["split"], "user_id", "is_click", "score", ["row_id"],
+                        probe=impressions(spark, sf_dir, ["valid", "test"]))
     return rounded(m, "ndcg_at_10", "ndcg_at_5", "recall_at_50", "score")
 
 

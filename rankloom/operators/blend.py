@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import click_columns, click_pieces, evaluate
+from rankloom.operators.metrics import click_columns, click_trimmed, click_windowed, evaluate
 from rankloom.operators.ordering import DEFAULT_SKEW, Skew, by_weight
 from rankloom.operators.ranks import rank01, zscore
 from rankloom.session import checkpoint_dir
@@ -51,6 +51,7 @@ def grid_click_metrics(
     score: Column,
     ties: Sequence[str],
     skew: Skew = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Click metrics of every point of a parameter grid, one row per ``by`` and ``g``.
 
@@ -64,15 +65,22 @@ def grid_click_metrics(
 
     def points(d: DataFrame) -> DataFrame:
         scored = d.withColumn("g", F.explode(grid)).withColumn("_score", score)
-        return click_pieces(scored.select(*cols, "g", "_score"), keys, label, "_score", ties)
-
-    pieces = by_weight(df, [*by, user], lambda d: points(d.repartition(*by, user)), points, skew)
+        return scored.select(*cols, "g", "_score")
+
+    pieces = by_weight(
+        df,
+        [*by, user],
+        lambda d: click_windowed(points(d.repartition(*by, user)), keys, label, "_score", ties),
+        lambda d: click_trimmed(points(d), keys, label, "_score", ties),
+        skew,
+        probe,
+    )
     return pieces.groupBy(*by, "g").agg(*click_columns())
 
 
 def weight_sweep(
     df: DataFrame, by: Sequence[str], user: str, label: str, a: str, b: str, ties: Sequence[str],
-    skew: Skew = DEFAULT_SKEW,
+    skew: Skew = DEFAULT_SKEW, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Click metrics of ``w a + (1 - w) b`` on raw and per-user z scores, plus both pure ends."""
     z = zscore(zscore(df, [*by, user], a, "_za"), [*by, user], b, "_zb")
@@ -83,13 +91,13 @@ def weight_sweep(
     score = F.when(F.col("g.mode") == "user_z", weighted(F.col("_za"), F.col("_zb"), w)).otherwise(
         weighted(F.col(a), F.col(b), w)
     )
-    m = grid_click_metrics(z, by, user, label, grid, score, ties, skew)
+    m = grid_click_metrics(z, by, user, label, grid, score, ties, skew, df if probe is None else probe)
     return m.select(*by, "g.mode", "g.w", *[c for c in m.columns if c not in (*by, "g")])
 
 
 def rerank_grid(
     df: DataFrame, by: Sequence[str], user: str, label: str, base: str, pop: str, time_rank: str,
-    ties: Sequence[str], skew: Skew = DEFAULT_SKEW,
+    ties: Sequence[str], skew: Skew = DEFAULT_SKEW, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Click metrics of ``base_z + a time_z + b pop_z`` over the two coefficient grids."""
     z = df
@@ -99,7 +107,7 @@ def rerank_grid(
         F.struct(F.lit(a).alias("time_coef"), F.lit(b).alias("pop_coef")) for a in TIME_COEFS for b in POP_COEFS
     ])
     score = F.col("_zb") + F.col("g.time_coef") * F.col("_zt") + F.col("g.pop_coef") * F.col("_zp")
-    m = grid_click_metrics(z, by, user, label, grid, score, ties, skew)
+    m = grid_click_metrics(z, by, user, label, grid, score, ties, skew, df if probe is None else probe)
     return m.select(*by, "g.time_coef", "g.pop_coef", *[c for c in m.columns if c not in (*by, "g")])
 
 

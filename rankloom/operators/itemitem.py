@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.ordering import Skew, by_weight
+
 # Item pairs one task may combine per batch of a user slice (memory bound, not a cut-off).
 PAIR_BATCH = 2_000_000
 
@@ -140,25 +142,44 @@ def cosine(pairs: DataFrame, user: str = "user_id", item: str = "video_id") -> D
     )
 
 
+# A user with more impressions than this is scored by expanding the history instead.
+WIDE_LISTS = Skew(rows_per_task=5_000)
+
+
 def history_score(
-    rows: DataFrame, pairs: DataFrame, sim: DataFrame, user: str = "user_id", item: str = "video_id"
+    rows: DataFrame, pairs: DataFrame, sim: DataFrame, user: str = "user_id", item: str = "video_id",
+    skew: Skew = WIDE_LISTS,
 ) -> DataFrame:
     """Add ``cf_sum``, ``cf_mean`` and ``u_hist_cnt``.
 
     cf_sum adds the similarity of the row's item to every item of the user's
-    history.  Rows are first reduced to distinct (user, item) candidates, whose
-    look-ups are equi-joins summed with map-side combine.
+    history.  Rows are first reduced to distinct (user, item) candidates.  A
+    short list looks its candidates up against the history.  A long one would
+    meet its history in a product, so there the history is expanded by the
+    stored similarities, summed by (user, item) map-side, and met by key.
     """
     cand = rows.select(user, item).distinct()
-    looked_up = (
-        cand.join(pairs.select(user, F.col(item).cast("long").alias("item_j")), user)
-        .withColumn("item_i", F.col(item).cast("long"))
-        .join(sim.select("item_i", "item_j", "w"), ["item_i", "item_j"])
-        .groupBy(user, item)
-        .agg(F.sum("w").alias("cf_sum"))
-    )
+    history = pairs.select(user, F.col(item).cast("long").alias("item_j"))
+    weights = sim.select("item_i", "item_j", "w")
+
+    def looked_up(c: DataFrame) -> DataFrame:
+        return (
+            c.join(history, user)
+            .withColumn("item_i", F.col(item).cast("long"))
+            .join(weights, ["item_i", "item_j"])
+            .groupBy(user, item)
+            .agg(F.sum("w").alias("cf_sum"))
+        )
+
+    def expanded(c: DataFrame) -> DataFrame:
+        mine = history.join(c.select(user).distinct(), user, "left_semi")
+        summed = mine.join(weights, "item_j").groupBy(user, "item_i").agg(F.sum("w").alias("cf_sum"))
+        keyed = c.withColumn("item_i", F.col(item).cast("long"))
+        return keyed.join(summed, [user, "item_i"]).select(user, item, "cf_sum")
+
+    found = by_weight(cand, [user], looked_up, expanded, skew, probe=rows)
     sizes = pairs.groupBy(user).agg(F.count(F.lit(1)).alias("u_hist_cnt"))
-    out = rows.join(looked_up, [user, item], "left").join(sizes, user, "left")
+    out = rows.join(found, [user, item], "left").join(sizes, user, "left")
     out = out.withColumns(
         {"cf_sum": F.coalesce("cf_sum", F.lit(0.0)), "u_hist_cnt": F.coalesce("u_hist_cnt", F.lit(0))}
     )

@@ -182,6 +182,52 @@ def fast_evaluate(
     return pieces.groupBy(*by).agg(*protocol_columns(k=k))
 
 
+def _click_shares(d: DataFrame, k: int, k_small: int, k_recall: int) -> DataFrame:
+    npos = F.col("npos")
+    return d.withColumns(
+        {
+            "ndcg": _ratio(F.col("_dcg"), _ideal(npos, k)),
+            "ndcg_small": _ratio(F.col("_dcg_small"), _ideal(npos, k_small)),
+            "recall": _ratio(F.col("_hits"), npos),
+        }
+    ).drop("_dcg", "_dcg_small", "_hits")
+
+
+def _click_sums(label: str, k: int, k_small: int, k_recall: int) -> list[Column]:
+    y, at = F.col(label), F.col("_at")
+    return [
+        F.sum(F.when(at <= k, y * _discount(at)).otherwise(0.0)).alias("_dcg"),
+        F.sum(F.when(at <= k_small, y * _discount(at)).otherwise(0.0)).alias("_dcg_small"),
+        F.sum(F.when(at <= k_recall, y).otherwise(0)).alias("_hits"),
+    ]
+
+
+def _list_sizes(label: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("npos")]
+
+
+def click_windowed(
+    d: DataFrame, keys: Sequence[str], label: str, score: str, ties: Sequence[str], k: int = 10, k_small: int = 5,
+    k_recall: int = 50,
+) -> DataFrame:
+    """Click pieces of ordinary lists: one shuffle for positions and sums."""
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)
+    d = d.withColumn("_at", F.row_number().over(w))
+    sums = d.groupBy(*keys).agg(*_list_sizes(label), *_click_sums(label, k, k_small, k_recall))
+    return _click_shares(sums, k, k_small, k_recall)
+
+
+def click_trimmed(
+    d: DataFrame, keys: Sequence[str], label: str, score: str, ties: Sequence[str], k: int = 10, k_small: int = 5,
+    k_recall: int = 50,
+) -> DataFrame:
+    """Click pieces of heavy lists: sizes and tops are reduced before they move."""
+    sizes = d.groupBy(*keys).agg(*_list_sizes(label))
+    best = top_k(d, keys, score, ties, max(k, k_small, k_recall), "_at")
+    sums = best.groupBy(*keys).agg(*_click_sums(label, k, k_small, k_recall))
+    return _click_shares(sizes.join(sums, list(keys)), k, k_small, k_recall)
+
+
 def click_pieces(
     df: DataFrame,
     keys: Sequence[str],
@@ -191,37 +237,24 @@ def click_pieces(
     k: int = 10,
     k_small: int = 5,
     k_recall: int = 50,
+    skew: Skew = DEFAULT_SKEW,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-list ``n, npos, ndcg, ndcg_small, recall`` of the click protocol.
-
-    Only the first ``max(k, k_recall)`` rows of a list matter beyond its counts,
-    so heavy lists need no special road.
-    """
+    """Per-list ``n, npos, ndcg, ndcg_small, recall`` of the click protocol."""
     keys = list(keys)
-    y, at = F.col(label), F.col("_at")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("npos"))
-    best = top_k(df.select(*dict.fromkeys([*keys, score, label, *ties])), keys, score, ties,
-                 max(k, k_small, k_recall), "_at").groupBy(*keys).agg(
-        F.sum(F.when(at <= k, y * _discount(at)).otherwise(0.0)).alias("_dcg"),
-        F.sum(F.when(at <= k_small, y * _discount(at)).otherwise(0.0)).alias("_dcg_small"),
-        F.sum(F.when(at <= k_recall, y).otherwise(0)).alias("_hits"),
-    )
-    npos = F.col("npos")
-    return sizes.join(best, keys).select(
-        *keys,
-        "n",
-        "npos",
-        _ratio(F.col("_dcg"), _ideal(npos, k)).alias("ndcg"),
-        _ratio(F.col("_dcg_small"), _ideal(npos, k_small)).alias("ndcg_small"),
-        _ratio(F.col("_hits"), npos).alias("recall"),
+    args = (keys, label, score, ties, k, k_small, k_recall)
+    slim = df.select(*dict.fromkeys([*keys, score, label, *ties]))
+    return by_weight(
+        slim, keys, lambda d: click_windowed(d, *args), lambda d: click_trimmed(d, *args), skew, probe
     )
 
 
 def click_metrics(
-    df: DataFrame, by: Sequence[str], user: str, label: str, score: str, ties: Sequence[str]
+    df: DataFrame, by: Sequence[str], user: str, label: str, score: str, ties: Sequence[str],
+    skew: Skew = DEFAULT_SKEW, probe: DataFrame | None = None,
 ) -> DataFrame:
     """nDCG@10, nDCG@5, recall@50 over users with a positive, and their mix."""
-    pieces = click_pieces(df, [*by, user], label, score, ties)
+    pieces = click_pieces(df, [*by, user], label, score, ties, skew=skew, probe=probe)
     return pieces.groupBy(*by).agg(*click_columns())
 
 

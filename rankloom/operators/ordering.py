@@ -34,6 +34,8 @@ class Skew:
 
 
 DEFAULT_SKEW = Skew()
+# Large keys are broadcast up to this many (some tens of megabytes).
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,9 @@ def by_weight(
     """Run ``light`` on ordinary keys and ``heavy`` on the large ones.
 
     The probe brings back a single number.  Fewer than ``rows / rows_per_task``
-    keys can be large, which bounds the broadcast table; their rows are
-    checkpointed because ``heavy`` reads them several times.  ``skew=None``
+    keys can be large; they are counted, broadcast up to ``MAX_BROADCAST_KEYS``
+    and joined by shuffle beyond.  Their rows are checkpointed because ``heavy``
+    reads them several times.  ``skew=None``
     states that groups are small by construction and skips the probe.
     ``probe`` may name a cheaper table with the same keys and row counts, such
     as the log that ``df`` added columns to.
@@ -75,8 +78,10 @@ def by_weight(
         return light(df)
     checkpoint_dir(df.sparkSession)
     hot = sizes.where(F.col("_rows") > skew.rows_per_task).select(*keys).checkpoint()
-    large = df.join(F.broadcast(hot), list(keys), "left_semi").checkpoint()
-    return light(df.join(F.broadcast(hot), list(keys), "left_anti")).unionByName(heavy(large))
+    if hot.count() <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    large = df.join(hot, list(keys), "left_semi").checkpoint()
+    return light(df.join(hot, list(keys), "left_anti")).unionByName(heavy(large))
 
 
 def _window_columns(df: DataFrame, keys: Sequence[str], w: WindowSpec, p: Prefix) -> DataFrame:
@@ -105,7 +110,9 @@ def with_segments(
     """Add ``_seg``: non-decreasing in (order, first tie column) within a key.
 
     Cut points are approximate quantiles per key; they need not be exact, only
-    the same for all rows.  A value that swallows several cut points is spread
+    the same for all rows.  A key keeps about one cut per ``rows_per_task`` rows,
+    so all cut points together number about ``rows / rows_per_task``, which
+    bounds their broadcast.  A value that swallows several cut points is spread
     over its segments by the first tie column, which is taken to be numeric.
     """
     cuts = ", ".join(f"{i / skew.segments}D" for i in range(1, skew.segments))
