@@ -130,6 +130,15 @@ def rerank_grid(spark, sf_dir):
     return rounded(m, "ndcg_at_10", "ndcg_at_5", "recall_at_50", "score")
 
 
+@query("rerank_best", "SELECT time_coef, pop_coef, ndcg_at_10, recall_at_50 FROM ("
+       + click_sql("time_coef, pop_coef", "points", "row_id", "is_click") + ") ORDER BY ndcg_at_10 DESC, time_coef, pop_coef LIMIT 1",
+       (IMP, SCORES, WIDE, GRID))
+def rerank_best(spark, sf_dir):
+    """Coefficients with the best nDCG@10, the first in grid order on ties."""
+    best = B.best_point(rerank_grid(spark, sf_dir), [], "ndcg_at_10", ["time_coef", "pop_coef"])
+    return best.select("time_coef", "pop_coef", "ndcg_at_10", "recall_at_50")
+
+
 @query("greedy_blend")
 def greedy_blend(spark, sf_dir):
     """Greedy forward selection on validation ranks, then the mix's protocol."""
