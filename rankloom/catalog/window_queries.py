@@ -114,7 +114,9 @@ def user_z(spark, sf_dir):
   ORDER BY score DESC, row_id) AS position FROM pop) WHERE position <= 5""", (IMP, POP))
 def topk_by_user(spark, sf_dir):
     """Five best rows of each list."""
-    return M.top_k(popularity_scored(spark, sf_dir), ["split", "user_id"], "score", ["row_id"], 5).select("row_id", "position")
+    return M.top_k(popularity_scored(spark, sf_dir), ["split", "user_id"], "score", ["row_id"], 5).select(
+        "row_id", F.col("position").cast("long").alias("position")
+    )
 
 
 SERIES = "series AS (SELECT tab, dayord, avg(long_view) AS value, count(*) AS n FROM imp GROUP BY tab, dayord)"
