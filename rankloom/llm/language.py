@@ -2,7 +2,8 @@
 
 Per language a zstandard raw-content dictionary is made of a bounded sample of labelled texts. A text is lower-cased,
 stripped of ASCII signs and digits, cut into pieces of a few kilobytes (all of them are used) and compressed with
-each dictionary; pieces keep the dictionary's part in the result as large for long texts as for short ones.
+each dictionary; pieces keep the dictionary's part in the result as large for long texts as for short ones. Where that leaves two
+languages close (short or repetitive texts) the distinct words are encoded once more with a finer search.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SAMPLE_TEXTS = 96
 DICTIONARY_BYTES = 96 << 10
 PIECE_BYTES = 2048
 LEVEL = 3
+#: Below this margin the distinct words of a text are encoded again, with matches from three bytes on.
+SECOND_LOOK = 0.05
 UNDETERMINED = "und"
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -38,20 +41,25 @@ def has_letter(text: str) -> bool:
 
 
 def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Language -> raw dictionary content, from (doc_id, text, lang); rows without text or language are left out.
+    """Language -> raw dictionary content, from (text, lang); rows without text or language are left out.
+
+    Languages come in order of their distinct texts, most first: ties of ``identify`` go to the more frequent one.
 
     The sample is the ``texts`` rows of each language with the least hash of their text, one row of each text.
     """
     known = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
     order = Window.partitionBy("lang").orderBy("h")
-    least = stored(known.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).drop("k"), "sample")
+    keys = stored(known.select("lang", "h").distinct(), "keys")
+    order_of = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()]
+    least = stored(keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).drop("k"), "sample")
     rows = known.join(least, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     share = max(1, size // texts)
     fitted: dict[str, list[bytes]] = {}
     for r in rows.orderBy("lang", "h").toLocalIterator():
         fitted.setdefault(r["lang"], []).append(clean(r["text"]))
     out = {}
-    for lang, all_texts in fitted.items():
+    for lang in order_of:
+        all_texts = fitted[lang]
         room, cut = size, []
         for n, t in enumerate(sorted(all_texts, key=len)):  # short texts leave their room to longer ones
             take = t[:max(share, room // (len(all_texts) - n))]
@@ -63,15 +71,28 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY
 
 
 @lru_cache(maxsize=4)
-def _compressors(langs: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.ZstdCompressor]:
+def _compressors(langs: tuple[tuple[str, bytes], ...], fine: bool) -> list[zstandard.ZstdCompressor]:
+    kind = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **kind)
+    if fine:
+        params = zstandard.ZstdCompressionParameters(
+            window_log=18, chain_log=18, hash_log=18, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, **kind)
     out = []
     for _, content in langs:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        d.precompute_compress(compression_params=params)
+        out.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
     return out
 
 
+def _sizes(tools: list[zstandard.ZstdCompressor], pieces: list[bytes]) -> tuple[np.ndarray, float]:
+    """Encoded bytes by language, and the margin of the shortest."""
+    size = np.array([sum(len(z.compress(p)) for p in pieces) for z in tools], dtype=float)
+    best = int(size.argmin())
+    rest = np.delete(size, best)
+    return size, float(rest.min() / size[best] - 1) if len(rest) else 1.0
+
+
 def _pieces(text: bytes) -> list[bytes]:
     """About ``PIECE_BYTES`` each, ended at a space if there is one."""
     out, at = [], 0
@@ -83,20 +104,20 @@ def _pieces(text: bytes) -> list[bytes]:
     return [*out, text[at:]]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005,
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002,
              doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) and the columns of ``keep``: one row per input row.
 
     ``lang_pred`` is ``und`` if the text is null or has no letter, or if nothing was learned. ``margin`` is the part
     by which the second shortest encoding is longer than the shortest; below ``min_margin`` the text is rejected, as
     is ``und``. ``score`` is a softmax over encoded lengths per piece, 0 for ``und``. Texts made of letters that no
-    language uses still get the shortest encoding's language; ties go to the first language by name.
+    language uses still get the shortest encoding's language; ties go to the first of
+    ``dictionaries``.
     """
-    langs = tuple(sorted(dictionaries.items()))
+    langs = tuple(dictionaries.items())
     names = [n for n, _ in langs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = _compressors(langs, LEVEL)
         for part, raw in slices(batches, "text"):
             out: list[tuple[str, float, float, bool]] = []
             for t in raw:
@@ -104,11 +125,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 if not names or not has_letter(s):
                     out.append((UNDETERMINED, 0.0, 0.0, True))
                     continue
-                pieces = _pieces(clean(s))
-                size = np.array([sum(len(z.compress(p)) for p in pieces) for z in tools], dtype=float)
+                pieces = _pieces(words := clean(s))
+                size, margin = _sizes(_compressors(langs, False), pieces)
+                if margin < SECOND_LOOK:
+                    pieces = _pieces(b" ".join(dict.fromkeys(words.split(b" "))))
+                    size, margin = _sizes(_compressors(langs, True), pieces)
                 best = int(size.argmin())
-                rest = np.delete(size, best)
-                margin = float(rest.min() / size[best] - 1) if len(rest) else 1.0
                 weight = np.exp(-(size - size[best]) / len(pieces) / 8)
                 out.append((names[best], float(1 / weight.sum()), margin, margin < min_margin))
             cols = list(zip(*out, strict=True))
