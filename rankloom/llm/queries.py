@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, language, urls
+from rankloom.llm import bpe, decontaminate, language, pii, urls
 from rankloom.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language.bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -29,7 +37,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op8_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op4_pii, op5_language_id, op8_url_filter, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
