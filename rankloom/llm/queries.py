@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, jaccard, language, pii, urls
+from rankloom.llm import bpe, decontaminate, jaccard, language, pii, urls, vectors
 from rankloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_jaccard_join, op4_pii, op5_language_id, op8_url_filter, op9_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op8_url_filter, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
