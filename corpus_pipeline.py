@@ -20,8 +20,7 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not determined or too close between two."""
     learn = docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 4) != 2, F.lit(True)))
-    judged = language.identify(docs.withColumn("_id", F.col("doc_id")), language.train(learn), doc_id="_id", keep=tuple(docs.columns))
-    # the operator's own doc_id comes first; what is kept follows under the names of documents
+    judged = language.identify(docs, language.train(learn), keep=tuple(docs.columns))
     columns = [f"_k{k}" for k in range(len(docs.columns))]
     return judged.toDF("_id", "_lang", "_score", "_margin", "_rejected", *columns).where("not _rejected").select(*columns).toDF(*docs.columns)
 

@@ -137,12 +137,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_()),
                  *(part[f"kept_{k}"] for k in range(len(keep)))],
-                ["doc_id", "lang_pred", "score", "margin", "rejected", *keep])
+                ["doc_id", "lang_pred", "score", "margin", "rejected", *(f"kept_{k}" for k in range(len(keep)))])
 
     src = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"kept_{k}") for k, c in enumerate(keep)))
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"doc_id {kinds[doc_id]}, lang_pred string, score double, margin double, rejected boolean", *(f"`{c}` {kinds[c]}" for c in keep)])
-    return src.mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {kinds[doc_id]}, lang_pred string, score double, margin double, rejected boolean", *(f"kept_{k} {kinds[c]}" for k, c in enumerate(keep))])
+    return src.mapInArrow(run, schema).toDF("doc_id", "lang_pred", "score", "margin", "rejected", *keep)
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:
