@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, html, jaccard, language, pii, urls, vectors
+from rankloom.llm import bpe, decontaminate, html, jaccard, language, pii, quality, urls, vectors
 from rankloom.llm.common import table
 
 
@@ -36,6 +36,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(language.bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = quality.train(docs, labels.where(~held_out))
+    out = quality.score(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted, "n_passages", "top_passage", "top_weight")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,7 +59,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op8_url_filter, op9_bpe, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op7_quality, op8_url_filter, op9_bpe, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
