@@ -4,8 +4,9 @@ A document is the set of its distinct 5-word shingles. Two documents link when 1
 needs an overlap of T(x, y) = ceil(3 (|x| + |y|) / 7). All links between different sets are reflected in the result:
 
 1. Documents with one set form a class; everything below works on classes.
-2. Pivots: classes that agree in a least hash are compared with the least of them only. This joins most members of a
-   group of near copies with a number of comparisons that grows with its members, not with their square.
+2. Pivots: of classes that agree in a least hash the least is their pivot, and each class is compared with the pivot
+   it agrees with most often. This joins most members of a group of near copies with a number of comparisons that
+   grows with its members, not with their square.
 3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order;
    here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done;
    of the others each pair of classes from different components is compared, so what step 2 left apart is found.
@@ -38,6 +39,10 @@ SKETCH_BLOCKS = 64
 HOT_FACTOR = 8
 #: Buckets of document ids that let most texts be left behind before the exact join.
 FILTER_BUCKETS = 1 << 20
+#: Candidates of a query that one search takes.
+CHUNK = 256
+#: Text whose postings a task sends off together.
+POST_BYTES = 8 << 20
 #: Postings that one task indexes.
 POSTINGS_PER_TASK = 1_500_000
 
@@ -48,21 +53,24 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, ascending, and each text's offsets."""
     words, offsets = words_of(texts)
     n = np.diff(offsets)
-    count = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
-    doc = np.repeat(np.arange(len(n)), count)
-    begin = offsets[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    used = np.minimum(n, WORDS)[doc]
-    padded = np.append(words, np.zeros(WORDS, np.uint64))
-    h = used.astype(np.uint64)
+    full = np.maximum(n - WORDS + 1, 0)
+    at = np.repeat(offsets[:-1] - np.cumsum(full) + full, full) + np.arange(full.sum())
+    h = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
-        h = h + np.where(k < used, mix(padded[begin + k] + _PLACE[k]), np.uint64(0)) * _PLACE[k]
-    h = mix(h)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+        h += words[k: k + len(h)] * _PLACE[k]
+    h = mix(h[at] + np.uint64(WORDS))
+    few = np.flatnonzero((n > 0) & (n < WORDS))
+    if len(few):  # the whole sequence is one shingle
+        one = np.array([np.sum(words[a: a + m] * _PLACE[:m], dtype=np.uint64) + np.uint64(m) for a, m in zip(offsets[few], n[few], strict=True)], dtype=np.uint64)
+        h = np.insert(h, np.cumsum(full)[few], mix(one))
+    count = full + ((n > 0) & (n < WORDS))
+    ends = np.cumsum(count)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):  # many small sorts are faster than a large one by two keys
+        h[a:b].sort()
+    doc = np.repeat(np.arange(len(n)), count)
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    return h, np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(n)))))
+    return h[first], np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=len(n)))))
 
 
 def _by_doc(ufunc: np.ufunc, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,12 +127,11 @@ def _sum_sketch(rows: DataFrame) -> np.ndarray:
 def prefixes(h: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first n - ceil(0.75 n) + 1 shingles of each text, seldom ones first, and the text of each."""
     n = np.diff(offsets)
-    doc = np.repeat(np.arange(len(n)), n)
     rank = (level[_sketch_bin(h)].astype(np.uint64) << np.uint64(58)) | (mix(h) >> np.uint64(6))
-    order = np.lexsort((h, rank, doc))
-    place = np.arange(len(h)) - np.repeat(offsets[:-1], n)
-    keep = place < np.repeat(n - (3 * n + 3) // 4 + 1, n)
-    return h[order][keep], doc[keep]
+    size = np.where(n > 0, n - (3 * n + 3) // 4 + 1, 0)
+    picked = [a + (np.argpartition(rank[a:b], k - 1)[:k] if k < b - a else np.arange(b - a)) for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist(), strict=True) if k]
+    at = np.concatenate(picked) if picked else np.empty(0, np.int64)
+    return h[at], np.repeat(np.arange(len(n)), size)
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -194,23 +201,30 @@ def search(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows (q, c, q_text, c_text): the rows of a batch with one query are its candidates."""
-    last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+    """Links among rows (q, chunk, member, cls, text) in that order: a chunk's first row is its query."""
+    now: tuple[int, int] | None = None
+    query = np.empty(0, np.uint64)
     for batch in batches:
         out_a, out_b = [], []
-        query = batch["q"].to_numpy()
-        for at in _runs(query):
-            part = batch.slice(at.start, at.stop - at.start)
-            q = int(query[at.start])
-            if last[0] != q:
-                last = q, shingle_sets([part["q_text"][0].as_py().encode()])[0]
-            for rows in _bounded(part):
-                h, offsets = shingle_sets([t.encode() for t in rows["c_text"].to_pylist()])
-                sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                ids = rows["c"].to_pylist()
-                got = search(last[1], sets)
-                out_a += [q] * len(got)
-                out_b += [ids[k] for k in got]
+        q, chunk, member = (batch[c].to_numpy(zero_copy_only=False) for c in ("q", "chunk", "member"))
+        cls = batch["cls"].to_numpy()
+        new = np.concatenate(([True], (q[1:] != q[:-1]) | (chunk[1:] != chunk[:-1]), [True]))
+        cuts = np.flatnonzero(new)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if now != (q[a], chunk[a]):
+                now, query = (q[a], chunk[a]), np.empty(0, np.uint64)
+            asks = int((~member[a:b]).sum())
+            if asks:  # a repeated id may give the query twice
+                query = shingle_sets([part["text"][0].as_py().encode()])[0]
+            at = a + asks
+            for rows, raw in slices(iter([part.slice(asks)]), "text"):
+                h, offsets = shingle_sets(raw)
+                sets = [h[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                got = [at + k for k in search(query, sets)] if len(query) else []
+                at += rows.num_rows
+                out_a += [int(q[a])] * len(got)
+                out_b += cls[got].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
@@ -219,31 +233,31 @@ def _runs(values: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
-def _bounded(part: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, part.num_rows, rows):
-        for piece, _ in slices(iter([part.slice(at, rows)]), "c_text"):
-            yield piece
-
-
 def links_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (q, c) of classes that link, as (a, b)."""
-    need = stored(pairs.select(F.col("q").alias("cls")).union(pairs.select("c")).distinct().join(reps.select("cls", "rep"), "cls"), "need")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
-    wanted = need.select(bucket("rep").alias("bucket")).distinct()  # at most FILTER_BUCKETS rows
-    some = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    """The pairs (q, c) of classes that link, as (a, b).
+
+    Each text moves twice: to the join that picks it out, and to the queries it is a candidate of. A query with many
+    candidates meets them in chunks of about ``CHUNK`` in different tasks.
+    """
+    chunks = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    chunks = stored(chunks, "chunks")
+    members = pairs.join(chunks, "q").select("q", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("member"), F.col("c").alias("cls"))
+    queries = chunks.select("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("member"), F.col("q").alias("cls"))
+    need = stored(members.union(queries).join(reps.select("cls", F.col("rep").alias("doc_id")), "cls"), "need")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BUCKETS))
+    wanted = need.select(bucket.alias("bucket")).distinct()  # at most FILTER_BUCKETS rows
+    some = docs.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in slices(batches, "text"):
-            names = classes(*shingle_sets(raw))
-            part = part.filter(pa.array(names == part["cls"].to_numpy()))
-            yield pa.RecordBatch.from_arrays([part["cls"], part["text"]], ["cls", "text"])
+            yield part.filter(pa.array(classes(*shingle_sets(raw)) == part["cls"].to_numpy()))
 
+    kind = "q long, chunk int, member boolean, cls long, text string"
     # an id may stand on rows of other texts: only the class's own text is taken
-    texts = stored(some.join(need.withColumnRenamed("rep", "doc_id"), "doc_id").select("cls", "text").mapInArrow(same, "cls long, text string"), "texts")
-    with_c = pairs.join(texts.select(F.col("cls").alias("c"), F.col("text").alias("c_text")), "c")
-    rows = with_c.join(texts.select(F.col("cls").alias("q"), F.col("text").alias("q_text")), "q").select("q", "c", "q_text", "c_text")
+    rows = some.join(need, "doc_id").select("q", "chunk", "member", "cls", "text").mapInArrow(same, kind)
+    rows = rows.repartition("q", "chunk").sortWithinPartitions("q", "chunk", "member")
     out = stored(rows.mapInArrow(_compare, "a long, b long"), "links")
-    forget(need, texts)
+    forget(need, chunks)
     return out
 
 
@@ -258,55 +272,71 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
     hot = sketch > HOT_FACTOR * max(64.0, float(sketch.mean()))
     parts = parts_for(spark, postings, POSTINGS_PER_TASK)
 
+    def packed(key: np.ndarray, doc: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+        """Keys by class: classes and sizes once, then how many keys each has, then the keys."""
+        who, count = np.unique(doc, return_counts=True)
+        return b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(who)]), cls[who], n[who], count, signed(key)))
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "key", "cls", "n", "packed"]
-        for _, raw in slices(batches, "text", 8 << 20):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, doc, cls, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held.clear()
+            to = (mix(key) % np.uint64(parts)).astype(np.int64)
+            is_hot = hot[_sketch_bin(key)]
+            # a key met very often stays with its block of documents, and is only listed
+            to[is_hot] = parts + int(mix(cls[:1].view(np.uint64))[0] % np.uint64(parts)) if len(cls) else 0
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(2 * parts + 1))
+            full = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k % parts for k, _ in full], pa.int32()), pa.array([k >= parts for k, _ in full], pa.bool_()),
+                 pa.array([packed(key[x], doc[x], cls, n) for _, x in full], pa.binary())], ["part", "hot", "packed"])
+
+        size = docs_held = 0
+        for _, raw in slices(batches, "text"):
             h, offsets = shingle_sets(raw)
-            cls, n = classes(h, offsets), np.diff(offsets)
             key, doc = prefixes(h, offsets, level)
-            is_hot = hot[_sketch_bin(key)]
-            k, d = key[is_hot], doc[is_hot]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.array(signed(k)), pa.array(cls[d]), pa.array(n[d].astype(np.int64)), pa.nulls(len(k), pa.binary())], names)
-            k, d = key[~is_hot], doc[~is_hot]
-            to = (mix(k) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((d, to))
-            k, d, to = k[order], d[order], to[order]
-            runs = _runs(to)
-            packed = []
-            for at in runs:  # keys by class: classes and sizes once, then how many keys each has
-                who, count = np.unique(d[at], return_counts=True)
-                packed.append(b"".join([np.int64(len(who)).tobytes(), cls[who].tobytes(), n[who].astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), k[at].tobytes()]))
-            none = [pa.nulls(len(runs), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[at.start]) for at in runs], pa.int32()), *none, pa.array(packed, pa.binary())], names)
+            held.append((key, doc + docs_held, classes(h, offsets), np.diff(offsets)))
+            docs_held += len(raw)
+            size += sum(map(len, raw))
+            if size > POST_BYTES:
+                yield flush()
+                size = docs_held = 0
+        if held:
+            yield flush()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, whose, sizes = [], [], []
+
+        def rows(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at: at + 100_000]) for x in (key, cls, n)], ["key", "cls", "n"])
+
         for b in batches:
-            for x in b["packed"].to_pylist():
+            for is_hot, x in zip(b["hot"].to_pylist(), b["packed"].to_pylist(), strict=True):
                 x = np.frombuffer(x, dtype=np.int64)
                 m = int(x[0])
                 count = x[1 + 2 * m: 1 + 3 * m]
-                keys.append(x[1 + 3 * m:])
-                whose.append(np.repeat(x[1: 1 + m], count))
-                sizes.append(np.repeat(x[1 + m: 1 + 2 * m], count))
-        if not keys:
-            return
-        key, cls, n = (np.concatenate(x) for x in (keys, whose, sizes))
-        order = np.lexsort((cls, key))
-        key, cls, n = key[order], cls[order], n[order]
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new = new_key | np.concatenate(([True], cls[1:] != cls[:-1]))
-        group = np.cumsum(new_key) - 1
-        many = (np.bincount(group[new]) > 1)[group] & new
-        for at in range(0, int(many.sum()), 100_000):
-            pick = np.flatnonzero(many)[at: at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(cls[pick]), pa.array(n[pick])], ["key", "cls", "n"])
-
-    posted = stored(docs.select("text").mapInArrow(post, "part int, key long, cls long, n long, packed binary"), "postings")
-    lists = posted.where("part is not null").select("part", "packed").repartition(parts, "part").select("packed").mapInArrow(index, "key long, cls long, n long")
-    out = stored(lists.union(posted.where("key is not null").select("key", "cls", "n").distinct()), "lists")
-    forget(posted)
-    return out
+                key, cls, n = x[1 + 3 * m:], np.repeat(x[1: 1 + m], count), np.repeat(x[1 + m: 1 + 2 * m], count)
+                if is_hot:
+                    yield from rows(key, cls, n)
+                else:
+                    keys.append(key)
+                    whose.append(cls)
+                    sizes.append(n)
+        if keys:
+            key, cls, n = (np.concatenate(x) for x in (keys, whose, sizes))
+            order = np.lexsort((cls, key))
+            key, cls, n = key[order], cls[order], n[order]
+            new_key = np.concatenate(([True], key[1:] != key[:-1]))
+            new = new_key | np.concatenate(([True], cls[1:] != cls[:-1]))
+            many = (np.bincount((np.cumsum(new_key) - 1)[new]) > 1)[np.cumsum(new_key) - 1] & new
+            yield from rows(key[many], cls[many], n[many])
+
+    posted = docs.select("text").mapInArrow(post, "part int, hot boolean, packed binary").repartition(parts, "part")
+    return stored(posted.select("hot", "packed").mapInArrow(index, "key long, cls long, n long"), "lists")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,7 +354,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     spots = reps.select("cls", F.posexplode("least").alias("k", "value"))
     pivot = stored(spots.groupBy("k", "value").agg(F.min("cls").alias("q"), F.max("cls").alias("most")).where("q <> most").drop("most"), "pivots")
-    near = stored(spots.join(pivot, ["k", "value"]).where("cls <> q").select("q", F.col("cls").alias("c")).distinct(), "near")
+    votes = spots.join(pivot, ["k", "value"]).where("cls <> q").groupBy("cls", "q").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("cls").agg(F.max(F.struct("votes", F.bitwise_not("q").alias("q"))).alias("m"))
+    near = stored(best.select(F.bitwise_not(F.col("m.q")).alias("q"), F.col("cls").alias("c")), "near")
     links = links_of(near, reps, src)
     first = components(links)
 
