@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, html, jaccard, language, pii, quality, urls, vectors
+from rankloom.llm import bpe, decontaminate, html, jaccard, katz, language, pii, quality, urls, vectors
 from rankloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(language.bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -59,7 +63,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op7_quality, op8_url_filter, op9_bpe, op10_html_extraction)}
+    all_of_them = (
+        op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op6_katz_backoff, op7_quality, op8_url_filter,
+        op9_bpe, op10_html_extraction,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
