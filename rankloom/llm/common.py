@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -57,6 +57,15 @@ def parts_for(spark: SparkSession, amount: float, per_part: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(amount / per_part) + 1)
 
 
+def hashed_below(rows: Column, count: Column | int, wanted: int) -> Column:
+    """Whether a 64-bit hash is among about the 2 x ``wanted`` least of ``count``: what a sample is then cut from.
+
+    Tasks drop all else by themselves, so what meets in one place does not grow with their number.
+    """
+    share = F.least(F.lit(1.0), F.lit(2.0 * wanted + 16) / F.greatest(F.lit(1.0), F.lit(count) if isinstance(count, int) else count))
+    return F.pmod(F.xxhash64(rows), F.lit(1 << 30)) <= share * (1 << 30)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows in runs of about ``limit`` bytes of text (one row at least), with the texts as bytes, null as empty."""
     for batch in batches:

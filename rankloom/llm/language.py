@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import slices, stored
+from rankloom.llm.common import hashed_below, slices, stored
 
 #: Bounds of the sample that the dictionaries are fitted on, per language.
 SAMPLE_TEXTS = 96
@@ -45,13 +45,15 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY
 
     Languages come in order of their distinct texts, most first: ties of ``identify`` go to the more frequent one.
 
-    The sample is the ``texts`` rows of each language with the least hash of their text, one row of each text.
+    The sample is ``texts`` different texts of each language at most, chosen by their hash.
     """
     known = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
     order = Window.partitionBy("lang").orderBy("h")
     keys = stored(known.select("lang", "h").distinct(), "keys")
-    order_of = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()]
-    least = stored(keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).drop("k"), "sample")
+    counts = stored(keys.groupBy("lang").count(), "counts")
+    order_of = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").toLocalIterator()]
+    some = keys.join(counts, "lang").where(hashed_below(F.col("h"), F.col("count"), texts)).select("lang", "h")
+    least = stored(some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts).drop("k"), "sample")
     rows = known.join(least, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     share = max(1, size // texts)
     fitted: dict[str, list[bytes]] = {}
@@ -59,7 +61,7 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY
         fitted.setdefault(r["lang"], []).append(clean(r["text"]))
     out = {}
     for lang in order_of:
-        all_texts = fitted[lang]
+        all_texts = fitted.get(lang, [])
         room, cut = size, []
         for n, t in enumerate(sorted(all_texts, key=len)):  # short texts leave their room to longer ones
             take = t[:max(share, room // (len(all_texts) - n))]

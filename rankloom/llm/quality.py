@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import hash_words, slices, stored
+from rankloom.llm.common import hash_words, hashed_below, slices, stored
 
 PASSAGE_WORDS = 64
 #: Bound of the labelled rows that the model is fitted on.
@@ -118,12 +118,13 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    """A model of the ``sample`` labelled documents with the least hash of their id; None if none is labelled.
+    """A model of ``sample`` labelled documents at most, chosen by the hash of their id; None if none is labelled.
 
     Labels other than 0 and 1 and null ones are left out; a document with several labels counts once for each.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    picked = stored(known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample), "sample")
+    known = known.distinct()
+    picked = stored(known.where(hashed_below(F.col("doc_id"), known.count(), sample)).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample), "sample")
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).join(picked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
