@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import mix, parts_for, signed, slices, stored, words_of
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Counts above it are not discounted.
 RELIABLE = 5
 ENTRIES_PER_PART = 1_500_000
@@ -196,8 +196,11 @@ class Block:
         first = np.cumsum(self.lengths) - self.lengths
         history = np.roll(self.local, 1)
         history[first] = m
-        key, self.pair = np.unique(history * (m + 1) + self.local, return_inverse=True)
-        self.h, self.w = key // (m + 1), key % (m + 1)
+        key, pair = np.unique(history * (m + 1) + self.local, return_inverse=True)
+        del history
+        self.pair = pair.astype(np.int32)
+        del pair
+        self.h, self.w = (key // (m + 1)).astype(np.int32), (key % (m + 1)).astype(np.int32)
         self.learned = np.bincount(self.pair[np.repeat(self.training, self.lengths)], minlength=len(key)).astype(np.int64)
         self.is_hot = (self.count[self.h] > hot) | (self.h == m)
         code = mix(self.number[self.h].view(np.uint64))

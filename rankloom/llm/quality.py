@@ -46,11 +46,13 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(data, dtype=np.uint8)
         first = np.concatenate(([True], of_word[1:] != of_word[:-1]))
         full, begin = of_word[first], starts[first]
-        size = np.diff(np.append(begin, len(raw)))
+        doc_end = (np.cumsum(lengths) - 1)[np.searchsorted(bag, full, side="right") - 1]
+        size = np.minimum(np.append(begin[1:], len(raw)), doc_end) - begin
         of_byte = np.repeat(full, size)
-        raw = raw[begin[0]:]
+        raw = raw[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
         histogram = np.bincount(of_byte * 256 + raw, minlength=total * 256).reshape(total, 256).astype(np.float32)
-        nbytes = np.maximum(histogram.sum(axis=1), 1)
+        total_bytes = histogram.sum(axis=1)
+        nbytes = np.maximum(total_bytes, 1)
         x[:, :256] = np.sqrt(histogram / nbytes[:, None])
         nwords = np.bincount(of_word, minlength=total)
         order = np.lexsort((words, of_word))
@@ -59,7 +61,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         repeated = np.bincount(of_word[1:][(words[1:] == words[:-1]) & (of_word[1:] == of_word[:-1])], minlength=total)
         many = np.maximum(nwords, 1)
         x[:, 256:] = np.stack([
-            nwords / PASSAGE_WORDS, np.bincount(p[new], minlength=total) / many, nbytes / many / 10, repeated / many,
+            nwords / PASSAGE_WORDS, np.bincount(p[new], minlength=total) / many, total_bytes / many / 10, repeated / many,
             histogram[:, _UPPER].sum(axis=1) / nbytes, histogram[:, _SIGN].sum(axis=1) / nbytes], axis=1)
     return x, bag
 
