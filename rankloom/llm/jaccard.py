@@ -10,6 +10,7 @@ needs an overlap of T(x, y) = ceil(3 (|x| + |y|) / 7). All links between differe
 3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order;
    here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done;
    of the others each pair of classes from different components is compared, so what step 2 left apart is found.
+   Pairs whose shingles' parities by bucket show too large a difference fall out before their texts move.
 4. Comparison: each query class searches the lists of its candidates for those that occur T times. The longest lists
    are set aside, the short ones merged with a heap that skips what cannot reach T, and who remains is looked up in
    the long ones by binary search.
@@ -88,13 +89,46 @@ def classes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return signed(mix(total + np.diff(offsets).astype(np.uint64) * _PLACE[0]))
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each of 64 or more buckets (the power of two from the set's size on) whether it holds an odd number."""
+    size = 1 << max(6, int(len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int) -> bool:
+    """Whether two sets of together ``n`` shingles can differ by n / 7 at most, which links do: each bucket of
+    different parity holds a shingle that only one of them has. The larger of two tables is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits = 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = x >> bits ^ x & (1 << bits) - 1
+    return 7 * (x ^ y).bit_count() <= n
+
+
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [may_link(*x) for x in zip(b["pq"].to_pylist(), b["pc"].to_pylist(), b["n"].to_pylist(), strict=True)]
+        part = b.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([part["q"], part["c"]], ["q", "c"])
+
+
+def sieved(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose parities allow a link: nearly all others fall out before any text moves."""
+    one = lambda name: reps.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("parity").alias(f"p{name}"))
+    both = pairs.join(one("c"), "c").join(one("q"), "q").select("q", "c", "pq", "pc", (F.col("nq") + F.col("nc")).alias("n"))
+    return both.mapInArrow(_sieve, "q long, c long")
+
+
 def _sketch_bin(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; at the end of the task, rows with its part of the sketch."""
-    names = ["doc_id", "n", "cls", "least", "block", "counts"]
+    names = ["doc_id", "n", "cls", "least", "parity", "block", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for part, raw in slices(batches, "text"):
         h, offsets = shingle_sets(raw)
@@ -104,9 +138,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(PIVOT_SEEDS))
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [part["doc_id"], pa.array(n.astype(np.int64)), pa.array(classes(h, offsets), mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(least)), *nothing], names)
+            [part["doc_id"], pa.array(n.astype(np.int64)), pa.array(classes(h, offsets), mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(least)),
+             pa.array([parity(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *nothing], names)
     blocks = [x.tobytes() for x in np.split(sketch, SKETCH_BLOCKS)]
-    none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+    none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
     yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
 
 
@@ -347,16 +382,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     and has a null component. Equal sets link (repeated rows too).
     """
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, block int, counts binary"), "summaries")
-    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least")
+    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, parity binary, block int, counts binary"), "summaries")
+    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "parity")
     sketch = _sum_sketch(rows.where("block is not null"))
-    reps = stored(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")), "classes")
+    reps = stored(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity")), "classes")
 
     spots = reps.select("cls", F.posexplode("least").alias("k", "value"))
     pivot = stored(spots.groupBy("k", "value").agg(F.min("cls").alias("q"), F.max("cls").alias("most")).where("q <> most").drop("most"), "pivots")
     votes = spots.join(pivot, ["k", "value"]).where("cls <> q").groupBy("cls", "q").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("cls").agg(F.max(F.struct("votes", F.bitwise_not("q").alias("q"))).alias("m"))
-    near = stored(best.select(F.bitwise_not(F.col("m.q")).alias("q"), F.col("cls").alias("c")), "near")
+    near = stored(sieved(best.select(F.bitwise_not(F.col("m.q")).alias("q"), F.col("cls").alias("c")), reps), "near")
     links = links_of(near, reps, src)
     first = components(links)
 
@@ -367,8 +402,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     lists = stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
     left, right = lists.alias("l"), lists.alias("r")
     fits = F.expr("l.cls < r.cls and l.root <> r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)")
-    rest = stored(left.join(right, F.expr("l.key = r.key") & fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct(), "rest")
-    more = links_of(rest, reps, src)
+    rest = left.join(right, F.expr("l.key = r.key") & fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
+    more = links_of(stored(sieved(rest, reps), "rest"), reps, src)
 
     root = components(links.union(more))
     of_class = stored(reps.select("cls", "rep").join(root.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "roots")

@@ -101,3 +101,13 @@ def test_shingle_sets(texts):
         assert (np.diff(own.astype(object)) > 0).all() if len(own) > 1 else True
         assert len(own) == len(shingles(t.decode()))
         assert seen.setdefault(frozenset(shingles(t.decode())), own.tolist()) == own.tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**63), max_size=300), st.sets(st.integers(0, 2**63), max_size=60), st.sets(st.integers(0, 2**63), max_size=300))
+def test_parities_never_drop_a_link(a, both, b):
+    a, b = a | both, b | both
+    pack = lambda x: jaccard.parity(np.array(sorted(x), dtype=np.uint64))
+    if 7 * len(a ^ b) <= len(a) + len(b):
+        assert jaccard.may_link(pack(a), pack(b), len(a) + len(b))
+    assert jaccard.may_link(pack(a), pack(a), 2 * len(a))
