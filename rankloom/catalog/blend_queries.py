@@ -154,7 +154,7 @@ PAIR = "pair AS (SELECT split, CASE model WHEN 'tab' THEN 'a' ELSE 'b' END AS sy
 BOOT = """users AS (SELECT split, user_id, row_number() OVER (PARTITION BY split ORDER BY user_id) AS no, count(*) OVER (PARTITION BY split) AS n
   FROM pieces WHERE system = 'a'),
 draws AS (SELECT split, rep, CAST(floor(CAST(('0x' || substr(md5(rep || ':' || (no - 1)), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) + 1 AS no
-  FROM users, (SELECT unnest(range(0, 20)) AS rep)),
+  FROM users, (SELECT unnest(range(0, 2000)) AS rep)),
 rep_metrics AS (SELECT split, rep, system, """ + PROTOCOL + """ AS gauc, avg(ndcg) AS ndcg
   FROM draws JOIN users USING (split, no) JOIN pieces USING (split, user_id) GROUP BY split, rep, system),
 deltas AS (SELECT split, rep, metric, sum(CASE system WHEN 'b' THEN v ELSE -v END) AS delta FROM (
@@ -166,12 +166,12 @@ deltas AS (SELECT split, rep, metric, sum(CASE system WHEN 'b' THEN v ELSE -v EN
   round(quantile_cont(delta, 0.975), 6) + 0.0 AS hi95, round(avg(CAST(delta <= 0 AS INTEGER)), 6) + 0.0 AS p_le_0, count(*) AS reps
 FROM deltas GROUP BY split, metric""", (IMP, SCORES, PAIR, pieces_cte("pieces", "pair", "split, system, user_id", "row_id"), BOOT))
 def bootstrap_paired(spark, sf_dir):
-    """Item against tab popularity on 20 paired resamples of the users."""
+    """Item against tab popularity on 2000 paired resamples of the users."""
     s = model_scores(spark, sf_dir).where("model IN ('tab', 'item')").withColumn(
         "system", F.when(F.col("model") == "tab", "a").otherwise("b")
     )
     pieces = M.user_pieces(s, ["split", "system", "user_id"], "long_view", "score", ["row_id"])
-    deltas = T.paired_deltas(T.paired_resamples(pieces, ["split"], "user_id", 20), ["split"])
+    deltas = T.paired_deltas(T.paired_resamples(pieces, ["split"], "user_id", 2000), ["split"])
     return rounded(T.summarise(deltas, ["split"]), "mean", "lo95", "hi95", "p_le_0")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import IMP, query, r6, rounded
@@ -147,18 +148,18 @@ def ordered_target_stats(spark, sf_dir):
 @query("attention_pool", """SELECT row_id, count(d) AS hist_len, round(coalesce(sum(exp(d) * d) / sum(exp(d)), 0), 6) + 0.0 AS attention FROM (
   SELECT r.row_id, list_dot_product(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d
   FROM (SELECT row_id, video_id, unnest(CASE WHEN len(h) = 0 THEN [NULL] ELSE h END) AS hist FROM (
-      SELECT r.row_id, r.video_id, coalesce((list(p.video_id ORDER BY p.time_us DESC, p.row_id DESC) FILTER (p.row_id IS NOT NULL))[1:10], []) AS h
+      SELECT r.row_id, r.video_id, coalesce((list(p.video_id ORDER BY p.time_us DESC, p.row_id DESC) FILTER (p.row_id IS NOT NULL))[1:50], []) AS h
       FROM imp r LEFT JOIN imp p ON p.user_id = r.user_id AND p.split = 'train' AND p.long_view = 1 AND p.time_us < r.time_us
       GROUP BY r.row_id, r.video_id)) r
     LEFT JOIN embeddings c ON c.vec_id = r.video_id LEFT JOIN embeddings e ON e.vec_id = r.hist) GROUP BY row_id""", (IMP,))
 def attention_pool(spark, sf_dir):
-    """Softmax of candidate-history similarity over the last ten positives, pooled.
+    """Softmax of candidate-history similarity over the last fifty positives, pooled.
 
     A dot product is taken once per distinct item pair; only ids travel with
     the impressions.
     """
     rows = impressions(spark, sf_dir).select("row_id", "user_id", "video_id", "time_us")
-    hist = N.last_n_history(rows, train_of(spark, sf_dir), 10)
+    hist = N.last_n_history(rows, train_of(spark, sf_dir), 50)
     e = rows.select("row_id", "video_id").join(hist, "row_id").withColumn("_item", F.explode_outer("history"))
     vec = item_vectors(spark, sf_dir)
     need = e.select("video_id", "_item").where("_item IS NOT NULL").distinct()
@@ -167,7 +168,10 @@ def attention_pool(spark, sf_dir):
         .join(vec.select(F.col("video_id").alias("_item"), F.col("vec").alias("_h")), "_item")
         .select("video_id", "_item", F.aggregate(F.zip_with("_c", "_h", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("d"))
     )
-    w = F.exp("d")
-    return e.join(dots, ["video_id", "_item"], "left").groupBy("row_id").agg(
+    scored = e.join(dots, ["video_id", "_item"], "left")
+    # a row has fifty items at most; without its largest product exp could overflow
+    w = F.exp(F.col("d") - F.col("_top"))
+    scored = scored.withColumn("_top", F.max("d").over(Window.partitionBy("row_id")))
+    return scored.groupBy("row_id").agg(
         F.count("d").alias("hist_len"), r6(F.coalesce(F.sum(w * F.col("d")) / F.sum(w), F.lit(0.0))).alias("attention")
     )

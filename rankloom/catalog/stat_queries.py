@@ -205,7 +205,7 @@ TAG_MODE = {"past": MODE_SQL["past"], "loo": MODE_SQL["loo"], "insample": ""}
 
 
 def tag_query(name: str, mode: str):
-    @query(name, f"""SELECT row_id, {out6("avg((s + 5.0 * own) / (cnt + 5.0))", "utags_rate")}, {out6("avg(cnt)", "utags_cnt")}
+    @query(name, f"""SELECT row_id, {out6("avg((s + 5.0 * own) / (cnt + 5.0))", "utags_lv_rate")}, {out6("avg(cnt)", "utags_cnt")}
 FROM (SELECT r.row_id, r.tag, count(p.row_id) AS cnt, coalesce(sum(p.long_view), 0) AS s
       FROM (SELECT row_id, split, user_id, dayord, unnest(tags) AS tag FROM imp) r
       LEFT JOIN (SELECT row_id, user_id, dayord, long_view, unnest(tags) AS tag FROM train) p
@@ -218,7 +218,7 @@ GROUP BY row_id""",
         rows = S.attach_rates(rows.select("row_id", "split", "user_id", "dayord", "long_view", "tags"), train,
                               ["user_id"], {"u_lv_rate": "long_view"}, {}, mode, "u_imp")
         got = S.tag_affinity(rows, train, ["row_id"], "user_id", "tags", "long_view", "u_lv_rate", mode)
-        return rounded(got, "utags_rate", "utags_cnt")
+        return rounded(got, "utags_lv_rate", "utags_cnt")
 
     run.__doc__ = f"Mean over the item's tags of the user's tag rate, train rows in mode {mode}."
     return run

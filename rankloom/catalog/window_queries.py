@@ -25,10 +25,10 @@ def exposures(spark, sf_dir):
                                              F.col("tags")[0].alias("tag1"))
 
 
-@query("gap_prev", "SELECT row_id, round(ln(1 + gap / 1000), 6) + 0.0 AS gap_prev FROM lagged", (IMP, SESS))
+@query("gap_prev", "SELECT row_id, round(ln(1 + gap / 1000), 6) + 0.0 AS gap_prev_ms FROM lagged", (IMP, SESS))
 def gap_prev(spark, sf_dir):
     """log1p milliseconds since the user's previous impression in the split."""
-    return rounded(N.session_features(exposures(spark, sf_dir)).select("row_id", "gap_prev"), "gap_prev")
+    return rounded(N.session_features(exposures(spark, sf_dir)).select("row_id", "gap_prev_ms"), "gap_prev_ms")
 
 
 @query("session_position", """SELECT row_id, row_number() OVER (PARTITION BY split, user_id, sess ORDER BY time_us, row_id) - 1 AS sess_pos
@@ -77,17 +77,16 @@ def days_since(spark, sf_dir):
 def asof_strict(spark, sf_dir):
     """Strict backward as-of join: the latest earlier day of the row's author."""
     train = impressions(spark, sf_dir, ["train"]).select("row_id", "split", "author_id", "dayord")
-    out = N.days_since(train, train, "author_id", "_gap")
-    return out.select("row_id", F.when(F.col("_gap") < N.NEVER_SEEN_DAYS, F.col("dayord") - F.col("_gap")).alias("last_day"))
+    return N.last_seen(train, train, "author_id").select("row_id", "last_day")
 
 
 @query("last_n_history", """SELECT row_id, len(h) AS hist_len, array_to_string(h, ',') AS history FROM (
-  SELECT r.row_id, coalesce((list(p.video_id ORDER BY p.time_us DESC, p.row_id DESC) FILTER (p.row_id IS NOT NULL))[1:10], []) AS h
+  SELECT r.row_id, coalesce((list(p.video_id ORDER BY p.time_us DESC, p.row_id DESC) FILTER (p.row_id IS NOT NULL))[1:50], []) AS h
   FROM imp r LEFT JOIN imp p ON p.user_id = r.user_id AND p.split = 'train' AND p.long_view = 1 AND p.time_us < r.time_us
   GROUP BY r.row_id)""", (IMP,))
 def last_n_history(spark, sf_dir):
-    """The ten latest earlier positives of the user, newest first."""
-    h = N.last_n_history(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), 10)
+    """The fifty latest earlier positives of the user, newest first."""
+    h = N.last_n_history(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), 50)
     return h.select("row_id", F.col("hist_len").cast("long").alias("hist_len"),
                     F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.metrics import click_columns, click_trimmed, click_windowed, evaluate
 from rankloom.operators.ordering import DEFAULT_SKEW, Skew, by_weight
-from rankloom.operators.ranks import rank01, zscore
+from rankloom.operators.ranks import rank01, zscores
 from rankloom.session import checkpoint_dir
 
 # The greedy search's weight grid and gain threshold, the blend
@@ -67,6 +67,10 @@ def grid_click_metrics(
         scored = d.withColumn("g", F.explode(grid)).withColumn("_score", score)
         return scored.select(*cols, "g", "_score")
 
+    # a row stands for as many as the grid has points
+    points_per_row = max(1, df.sparkSession.range(1).select(F.size(grid)).first()[0])
+    if skew is not None:
+        skew = Skew(max(1, skew.rows_per_task // points_per_row))
     pieces = by_weight(
         df,
         [*by, user],
@@ -83,7 +87,7 @@ def weight_sweep(
     skew: Skew = DEFAULT_SKEW, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Click metrics of ``w a + (1 - w) b`` on raw and per-user z scores, plus both pure ends."""
-    z = zscore(zscore(df, [*by, user], a, "_za"), [*by, user], b, "_zb")
+    z = zscores(df, [*by, user], {"_za": a, "_zb": b})
     points = [("user_z", w) for w in SWEEP_WEIGHTS] + [("raw", w) for w in SWEEP_WEIGHTS]
     points += [(f"{a}_only", 1.0), (f"{b}_only", 0.0)]
     grid = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(float(w)).alias("w")) for m, w in points])
@@ -100,9 +104,7 @@ def rerank_grid(
     ties: Sequence[str], skew: Skew = DEFAULT_SKEW, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Click metrics of ``base_z + a time_z + b pop_z`` over the two coefficient grids."""
-    z = df
-    for c, out in ((base, "_zb"), (pop, "_zp"), (time_rank, "_zt")):
-        z = zscore(z, [*by, user], c, out)
+    z = zscores(df, [*by, user], {"_zb": base, "_zp": pop, "_zt": time_rank})
     grid = F.array(*[
         F.struct(F.lit(a).alias("time_coef"), F.lit(b).alias("pop_coef")) for a in TIME_COEFS for b in POP_COEFS
     ])
@@ -133,7 +135,6 @@ def greedy_blend(
     row_id: str = "row_id",
     weights: Sequence[float] = tuple(GREEDY_WEIGHTS),
     gain: float = GREEDY_GAIN,
-    max_steps: int = 100,
 ) -> tuple[dict[str, float], float, DataFrame]:
     """Greedy forward selection over rank columns, one column per model.
 
@@ -165,7 +166,7 @@ def greedy_blend(
     mix, current = {models[best]: 1.0}, singles[best]
     df = base.withColumn("_cur", F.col(models[best]))
     grid = [(m, w) for m in models for w in weights]
-    for _ in range(max_steps):
+    while True:  # every step gains more than ``gain`` on a bounded metric
         chosen = None
         for (m, w), s in zip(grid, scores_of(df, grid)):
             if s > current + gain:

@@ -6,12 +6,13 @@ a third of the log.  Every ordered operator here therefore asks first, with one
 map-side-combined count, how large the largest key is:
 
 * if all keys fit a task, the plan is the plain window (one shuffle);
-* otherwise the few large keys are split off and written to the checkpoint
-  folder, cut into segments along the order column, and windowed per
-  (key, segment); a small table of per-segment totals carries the prefix from
-  one segment to the next.
+* otherwise the few large keys are split off, range-partitioned by (key, order,
+  ties) in the columns' own types, and written to the checkpoint folder with the
+  number of their partition; rows are windowed per (key, partition), and a small
+  table of per-partition totals carries the prefix from one to the next.
 
-Both roads yield exactly the same values.
+Both roads yield the same values; floating-point sums may differ in rounding.
+A null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ from rankloom.session import checkpoint_dir
 
 @dataclass(frozen=True)
 class Skew:
-    """When to split a key, and into how many segments at most."""
+    """When to split a key; segments hold about ``rows_per_task`` rows each."""
 
     rows_per_task: int = 2_000_000
-    segments: int = 512
 
 
 DEFAULT_SKEW = Skew()
@@ -52,6 +52,14 @@ class Prefix:
     then: Callable[[DataFrame], DataFrame] | None = None
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join by keys that may be null; the keys are taken from ``left``."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(renamed[r]) for k, r in names.items()]
+    return left.join(renamed, on, how).drop(*names.values())
+
+
 def by_weight(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,8 +72,7 @@ def by_weight(
 
     The probe brings back a single number.  Fewer than ``rows / rows_per_task``
     keys can be large; they are counted, broadcast up to ``MAX_BROADCAST_KEYS``
-    and joined by shuffle beyond.  Their rows are checkpointed because ``heavy``
-    reads them several times.  ``skew=None``
+    and joined by shuffle beyond.  ``skew=None``
     states that groups are small by construction and skips the probe.
     ``probe`` may name a cheaper table with the same keys and row counts, such
     as the log that ``df`` added columns to.
@@ -80,8 +87,7 @@ def by_weight(
     hot = sizes.where(F.col("_rows") > skew.rows_per_task).select(*keys).checkpoint()
     if hot.count() <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    large = df.join(hot, list(keys), "left_semi").checkpoint()
-    return light(df.join(hot, list(keys), "left_anti")).unionByName(heavy(large))
+    return light(null_safe_join(df, hot, keys, "left_anti")).unionByName(heavy(null_safe_join(df, hot, keys, "left_semi")))
 
 
 def _window_columns(df: DataFrame, keys: Sequence[str], w: WindowSpec, p: Prefix) -> DataFrame:
@@ -107,38 +113,16 @@ def _window_columns(df: DataFrame, keys: Sequence[str], w: WindowSpec, p: Prefix
 def with_segments(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], skew: Skew
 ) -> DataFrame:
-    """Add ``_seg``: non-decreasing in (order, first tie column) within a key.
+    """Rows with ``_seg``, which does not fall along (order, ties) within a key.
 
-    Cut points are approximate quantiles per key; they need not be exact, only
-    the same for all rows.  A key keeps about one cut per ``rows_per_task`` rows,
-    so all cut points together number about ``rows / rows_per_task``, which
-    bounds their broadcast.  A value that swallows several cut points is spread
-    over its segments by the first tie column, which is taken to be numeric.
+    Segments are the partitions of a range partitioning, so any orderable type
+    and any number of rows per key will do.  They are checkpointed: the numbers
+    have to be the same wherever the rows are read.
     """
-    cuts = ", ".join(f"{i / skew.segments}D" for i in range(1, skew.segments))
-    value = F.col(order).cast("double")
-    aggs = [
-        F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({cuts}), 10000)").alias("_cuts"),
-        F.count(F.lit(1)).alias("_rows"),
-    ]
-    if ties:
-        tie = F.col(ties[0]).cast("double")
-        aggs += [F.min(tie).alias("_lo"), F.max(tie).alias("_hi")]
-    plan = df.groupBy(*keys).agg(*aggs)
-    # a key just over the limit needs few segments: keep every step-th cut
-    step = F.greatest(
-        F.lit(1), F.floor(F.lit(float(skew.segments)) * skew.rows_per_task / F.col("_rows")).cast("int")
-    )
-    plan = plan.withColumn("_cuts", F.filter("_cuts", lambda e, i: (i + 1) % step == 0))
-    out = df.join(F.broadcast(plan), list(keys))
-    below = F.size(F.filter("_cuts", lambda e: e < value))
-    if ties:
-        upto = F.size(F.filter("_cuts", lambda e: e <= value))
-        share = (F.col(ties[0]).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-        seg = F.least(upto, below + F.floor(share * (upto - below + 1)).cast("int"))
-    else:
-        seg = below
-    return out.withColumn("_seg", seg).drop("_cuts", "_rows", "_lo", "_hi")
+    checkpoint_dir(df.sparkSession)
+    parts = max(2, -(-df.count() // skew.rows_per_task))
+    ranged = df.repartitionByRange(parts, *keys, order, *ties)
+    return ranged.withColumn("_seg", F.spark_partition_id()).checkpoint()
 
 
 def carry_prefix(
@@ -157,7 +141,7 @@ def carry_prefix(
     aggs += [F.max(c).alias(f"_m_{o}") for o, c in p.maxes.items()]
     aggs += [F.max_by(c, F.struct(order, *ties)).alias(f"_l_{o}") for o, c in p.previous.items()]
     aggs += [F.sum(c).alias(f"_t_{o}") for o, c in p.totals.items()]
-    # at most `segments` rows per key from here on
+    # a row per key and partition from here on
     seg = Window.partitionBy(*keys).orderBy("_seg")
     before = seg.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -171,7 +155,7 @@ def carry_prefix(
     offsets = (df if base is None else base).groupBy(*cells).agg(*aggs).withColumns(carried).select(*cells, *carried)
 
     local = Prefix(number="__at", sums=p.sums, maxes=p.maxes, previous=p.previous)
-    rows = _window_columns(df, cells, w, local).join(offsets, cells)
+    rows = null_safe_join(_window_columns(df, cells, w, local), offsets, cells)
     new: dict[str, Column] = {}
     if p.number:
         new[p.number] = F.col("__at") + F.col("__carry_no")
@@ -224,7 +208,7 @@ def ordered_prefix(
 ) -> DataFrame:
     """Positions, running sums, maxima and lags by key, safe for keys of any size.
 
-    ``order`` is a numeric column read ascending (negate it for descending);
+    ``order`` is read ascending (negate a number for descending), nulls first;
     (``order``, ``ties``) must be unique within a key for a repeatable result.
     """
     chain = [steps] if isinstance(steps, Prefix) else list(steps)

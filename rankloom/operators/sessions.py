@@ -37,7 +37,7 @@ def _session_steps() -> list[Prefix]:
         new_session = new_day | (gap > SESSION_GAP_US)
         return d.withColumns(
             {
-                "gap_prev": F.log1p(gap / 1000),
+                "gap_prev_ms": F.log1p(gap / 1000),
                 "_sess": F.when(new_session, F.col("_no")),
                 "_day": F.when(new_day, F.col("_no")),
             }
@@ -60,7 +60,7 @@ def session_features(
     seen: dict[str, str] | None = None,
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """``gap_prev``, ``sess_pos``, ``impr_idx_day`` and seen-today counters.
+    """``gap_prev_ms``, ``sess_pos``, ``impr_idx_day`` and seen-today counters.
 
     ``seen`` maps an output to the key column it counts within (user, date).
     A session breaks on user, day or 30 minutes of silence; splits are separate
@@ -93,6 +93,18 @@ def session_features(
     return by_weight(df, keys, light, heavy, skew)
 
 
+def last_seen(log: DataFrame, pool: DataFrame, key: str, day: str = "dayord", out: str = "last_day") -> DataFrame:
+    """Strict backward as-of join: the latest day before the row's on which the pool has its key, else null."""
+    days = pool.select(key, F.col(day).alias("_day")).where(F.col(key).isNotNull()).distinct()
+    asked = log.select(key, F.col(day).alias("_day")).distinct()
+    # one row per key and day on both sides, so a key is as long as its days
+    both = days.select(key, "_day", F.col("_day").alias("_seen")).unionByName(asked.select(key, "_day", F.lit(None).cast("int").alias("_seen")))
+    cell = both.groupBy(key, "_day").agg(F.max("_seen").alias("_seen"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    found = cell.withColumn(out, F.max("_seen").over(before)).select(F.col(key), F.col("_day").alias(day), out)
+    return log.join(found, [key, day], "left")
+
+
 def days_since(
     rows: DataFrame, train: DataFrame, key: str, out: str, day: str = "dayord", exposures: DataFrame | None = None
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import CROSS_PRIOR, PRIOR, mean_or, smooth
+from rankloom.operators.ordering import null_safe_join
 
 # Stands for "after the last day" in the past-only lookup.
 AFTER_ALL = 2_147_483_647
@@ -31,6 +32,14 @@ def pool_mean(pool: DataFrame, value: str, where: Column | None = None) -> Colum
     return df.agg(F.avg(value).alias("m")).scalar()
 
 
+def pool_means(pool: DataFrame, values: Mapping[str, str]) -> dict[str, Column]:
+    """Means of several columns over the pool from one scalar subquery."""
+    if not values:
+        return {}
+    one = pool.agg(F.struct(*[F.avg(c).alias(o) for o, c in values.items()]).alias("m")).scalar()
+    return {o: one.getField(o) for o in values}
+
+
 def totals_by_key(pool: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     return pool.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_c"), *[F.sum(v).alias(f"_s_{o}") for o, v in values.items()]
@@ -110,10 +119,11 @@ def attach_rates(
     values = {f"_v{i}": c for i, c in enumerate([*rates.values(), *means.values()])}
     out = attach_counts(rows, pool, keys, values, mode, count)
     new: dict[str, Column] = {}
-    for i, (name, c) in enumerate(rates.items()):
-        new[name] = smooth(F.col(f"_v{i}"), F.col(count), pool_mean(pool, c), prior)
-    for i, (name, c) in enumerate(means.items(), start=len(rates)):
-        new[name] = mean_or(F.col(f"_v{i}"), F.col(count), pool_mean(pool, c))
+    mean = pool_means(pool, values)
+    for i, name in enumerate(rates):
+        new[name] = smooth(F.col(f"_v{i}"), F.col(count), mean[f"_v{i}"], prior)
+    for i, name in enumerate(means, start=len(rates)):
+        new[name] = mean_or(F.col(f"_v{i}"), F.col(count), mean[f"_v{i}"])
     return out.withColumns(new).drop(*values)
 
 
@@ -160,7 +170,7 @@ def tag_affinity(
     prior: float = CROSS_PRIOR,
     day: str = "dayord",
 ) -> DataFrame:
-    """Mean over an item's tags of the user's rate on each tag: ``utags_rate``, ``utags_cnt``.
+    """Mean over an item's tags of the user's rate on each tag: ``utags_lv_rate``, ``utags_cnt``.
 
     Returns ``row_keys`` and the two features for rows that have a tag or not;
     a row without tags gets the user's own rate and count 0.
@@ -172,7 +182,7 @@ def tag_affinity(
     has = F.col("_tag").isNotNull()
     rate = smooth(F.col("_pos"), F.col("_cnt"), F.col(own_rate), prior)
     return got.groupBy(*row_keys).agg(
-        F.coalesce(F.avg(F.when(has, rate)), F.max(own_rate)).alias("utags_rate"),
+        F.coalesce(F.avg(F.when(has, rate)), F.max(own_rate)).alias("utags_lv_rate"),
         F.coalesce(F.avg(F.when(has, F.col("_cnt"))), F.lit(0.0)).alias("utags_cnt"),
     )
 
@@ -237,9 +247,9 @@ def mixed_weight(rows: DataFrame, keys: Sequence[str], label: str, weight: float
     """1 for rows whose (user, day) list has both classes, ``weight`` for the rest."""
     g = rows.groupBy(*keys).agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_c"))
     mixed = (F.col("_s") > 0) & (F.col("_s") < F.col("_c"))
-    return rows.join(g, list(keys)).withColumn("weight", F.when(mixed, 1.0).otherwise(weight)).drop("_s", "_c")
+    return null_safe_join(rows, g, keys).withColumn("weight", F.when(mixed, 1.0).otherwise(weight)).drop("_s", "_c")
 
 
 def group_totals(rows: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Attach aggregates of a row's group; any key may be hot, as nothing is sorted."""
-    return rows.join(rows.groupBy(*keys).agg(*aggs), list(keys))
+    return null_safe_join(rows, rows.groupBy(*keys).agg(*aggs), keys)

@@ -51,6 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         named = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(named)
     return named

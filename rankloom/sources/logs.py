@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankloom.functions.scalars import label_of
 from rankloom.operators.runs import RUN_SCHEMA
@@ -23,9 +24,20 @@ LOG_COLUMNS = (
 
 
 def csv_scan(spark: SparkSession, paths: str | Sequence[str], schema: str, columns: Sequence[str] = ()) -> DataFrame:
-    """CSV with header; only the named columns are parsed.  Several paths are one union."""
-    df = spark.read.schema(schema).csv(list(paths) if not isinstance(paths, str) else paths, header=True)
-    return df.select(*columns) if columns else df
+    """CSV bound by the header's names; only the named columns are parsed.  Several paths are one union.
+
+    A column that the header lacks raises; text that is no value of the stated type is null.
+    """
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    wanted = list(columns) or list(kinds)
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        text = spark.read.csv(path, header=True)
+        if missing := [c for c in wanted if c not in text.columns]:
+            raise ValueError(f"{path} has no column {missing}")
+        df = text.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in wanted])
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def impression_log(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from rankloom.operators import metrics as M
 from rankloom.operators.ordering import Skew
 from rankloom.operators.ranks import rank01, zscore
 
-SMALL = Skew(rows_per_task=5, segments=4)
+SMALL = Skew(rows_per_task=5)
 
 
 def test_rank_inside_user(spark):

@@ -196,3 +196,22 @@ def test_boosted_trees_beat_popularity_on_a_planted_signal(spark):
     model = L.gbt_pipeline([], ["ua", "vb"], "y", iterations=6, depth=3, lr=0.3).fit(tr)
     score = lambda d: M.evaluate(d, ["split"], "user_id", "y", "score", ["row_id"]).first()["primary_score"]
     assert score(L.predict(model, va)) > score(S.score_popularity(va, tr, "video_id", "y")) + 0.05
+
+
+def test_csv_binds_by_name_and_refuses_missing_columns(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("video_id,user_id\n11,1\nbad,2\n")
+    schema = "user_id BIGINT, video_id BIGINT"
+    got = {r["user_id"]: r["video_id"] for r in logs.csv_scan(spark, str(tmp_path / "x.csv"), schema).collect()}
+    assert got == {1: 11, 2: None}
+    with pytest.raises(ValueError, match="author_id"):
+        logs.csv_scan(spark, str(tmp_path / "x.csv"), "author_id BIGINT")
+
+
+def test_alignment_holds_when_the_score_is_not_read(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "row_id long")
+    scores = spark.createDataFrame([(2, 0.5), (3, 0.1)], "row_id long, s double")
+    with pytest.raises(Exception, match="do not align"):
+        C.attach_scores(rows, scores, "s").count()
+    with pytest.raises(Exception, match="do not align"):
+        C.attach_scores(rows, scores, "s").select("row_id").collect()
+    assert C.attach_scores(rows, spark.createDataFrame([(2, 0.5), (1, 0.2)], "row_id long, s double"), "s").count() == 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import metrics as M
 from rankloom.operators.ordering import Skew
 
-SMALL = Skew(rows_per_task=6, segments=4)
+SMALL = Skew(rows_per_task=6)
 
 
 def frame(spark, users, y, s):

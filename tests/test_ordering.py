@@ -6,7 +6,7 @@ import pytest
 
 from rankloom.operators.ordering import Prefix, Skew, exact_quantiles, ordered_prefix
 
-SMALL = Skew(rows_per_task=20, segments=8)
+SMALL = Skew(rows_per_task=20)
 HUGE = Skew(rows_per_task=10**9)
 
 
@@ -60,3 +60,49 @@ def test_exact_quantiles(spark):
         got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "o", probs, skew).collect()}
         for k, part in df.toPandas().groupby("k"):
             assert np.allclose(got[k], np.quantile(part["o"], probs))
+
+
+def test_longs_beyond_double_precision(spark):
+    df = spark.range(200).selectExpr("1 AS k", "1152921504606846976L + (id * 37) % 200 AS o", "id", "id AS v")
+    a = ordered_prefix(df, ["k"], "o", ["id"], STEP, SMALL)
+    b = ordered_prefix(df, ["k"], "o", ["id"], STEP, HUGE)
+    assert collect(a) == collect(b)
+
+
+def test_text_order_and_text_ties(spark):
+    df = spark.range(300).selectExpr("7 AS k", "CAST(id % 3 AS STRING) AS o", "concat('u', id) AS id", "id AS v")
+    a = ordered_prefix(df, ["k"], "o", ["id"], STEP, SMALL)
+    b = ordered_prefix(df, ["k"], "o", ["id"], STEP, HUGE)
+    assert collect(a) == collect(b)
+
+
+def null_last(rows):
+    return sorted(rows, key=lambda r: [(x is None, x) for x in r])
+
+
+def test_a_null_key_may_be_hot(spark):
+    df = spark.range(400).selectExpr("CASE WHEN id % 4 > 0 THEN NULL ELSE id % 5 END AS k", "id % 11 AS o", "id", "id AS v")
+    a = ordered_prefix(df, ["k"], "o", ["id"], STEP, SMALL)
+    b = ordered_prefix(df, ["k"], "o", ["id"], STEP, HUGE)
+    assert null_last(map(tuple, a.select(sorted(a.columns)).collect())) == null_last(map(tuple, b.select(sorted(b.columns)).collect()))
+    parts = ordered_prefix(df, ["k"], "o", ["id"], STEP, SMALL).rdd.glom().map(len).collect()
+    assert sum(parts) == 400
+
+
+def test_vocabulary_of_many_texts(spark):
+    from rankloom.operators.encode import fit_vocab
+
+    df = spark.range(300).selectExpr("id AS row_id", "concat('u', id % 200) AS user", "id % 3 AS tab")
+    heavy, light = (fit_vocab(df, ["user", "tab"], skew=s) for s in (SMALL, HUGE))
+    assert collect(heavy) == collect(light)
+
+
+def test_zscores_keep_null_keys(spark):
+    from rankloom.operators.ranks import zscore
+    from rankloom.operators.stats import group_totals, mixed_weight
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 0), (2, 5.0, 1)], "k int, v double, y int")
+    assert sorted(round(r["z"], 4) for r in zscore(df, ["k"], "v", "z").collect()) == [-0.7071, 0.0, 0.7071]
+    assert group_totals(df, ["k"], F.sum("v").alias("t")).count() == 3
+    assert mixed_weight(df, ["k"], "y", 0.5).count() == 3

@@ -4,7 +4,7 @@ import pandas as pd
 from rankloom.operators import sessions as N
 from rankloom.operators.ordering import Skew
 
-SMALL = Skew(rows_per_task=15, segments=6)
+SMALL = Skew(rows_per_task=15)
 SEEN = {"uv": "video_id", "ut": "tag1"}
 
 
@@ -40,7 +40,7 @@ def test_sessions_by_hand(spark):
     # 35 minutes of silence, then a day change, then a long silence on the same day
     assert [r["sess_pos"] for r in got] == [0, 1, 0, 0, 0]
     assert [r["impr_idx_day"] for r in got] == [0, 1, 2, 0, 1]
-    assert got[0]["gap_prev"] is None and abs(got[1]["gap_prev"] - np.log1p(600_000)) < 1e-9
+    assert got[0]["gap_prev_ms"] is None and abs(got[1]["gap_prev_ms"] - np.log1p(600_000)) < 1e-9
 
 
 def test_last_n_history_brute_force(spark):
@@ -58,3 +58,11 @@ def test_days_since(spark):
     df = spark.createDataFrame(pdf)
     got = N.days_since(df, df.where("split = 'train'"), "k", "gap").orderBy("row_id").collect()
     assert [r["gap"] for r in got] == [99, 99, 2, 3, 1]
+
+
+def test_last_seen_has_no_horizon(spark):
+    from rankloom.operators.sessions import last_seen
+
+    log = spark.createDataFrame([(1, 0), (1, 150), (1, 150), (2, 400), (None, 3), (None, 9)], "author_id int, dayord int")
+    got = sorted(((r["author_id"], r["dayord"], r["last_day"]) for r in last_seen(log, log, "author_id").collect()), key=str)
+    assert got == sorted([(1, 0, None), (1, 150, 0), (1, 150, 0), (2, 400, None), (None, 3, None), (None, 9, None)], key=str)
