@@ -8,8 +8,9 @@ needs an overlap of T(x, y) = ceil(3 (|x| + |y|) / 7). All links between differe
    it agrees with most often. This joins most members of a group of near copies with a number of comparisons that
    grows with its members, not with their square.
 3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order;
-   here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done;
-   of the others each pair of classes from different components is compared, so what step 2 left apart is found.
+   here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done. In
+   the others first one member of each component is compared with those of the other components, in rounds while
+   that joins any; at last each pair of classes that still lie in different components is, so no link is missed.
    Pairs whose shingles' parities by bucket show too large a difference fall out before their texts move.
 4. Comparison: each query class searches the lists of its candidates for those that occur T times. The longest lists
    are set aside, the short ones merged with a heap that skips what cannot reach T, and who remains is looked up in
@@ -22,6 +23,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ SKETCH_BLOCKS = 64
 HOT_FACTOR = 8
 #: Buckets of document ids that let most texts be left behind before the exact join.
 FILTER_BUCKETS = 1 << 20
+#: Rounds in which each component of a list sends one member only.
+REPRESENTATIVE_ROUNDS = 3
 #: Candidates of a query that one search takes.
 CHUNK = 256
 #: Text whose postings a task sends off together.
@@ -374,6 +378,19 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
     return stored(posted.select("hot", "packed").mapInArrow(index, "key long, cls long, n long"), "lists")
 
 
+def _mixed(lists: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, cls, n, root) of the keys whose lists hold more than one component."""
+    named = stored(lists.join(root.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")), "named")
+    mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    return stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """The pairs (q, c) of one list, of different components and of sizes that can link."""
+    fits = F.expr("l.key = r.key and l.root < r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)")
+    return lists.alias("l").join(lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row.
 
@@ -397,15 +414,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     total = reps.agg(F.sum("n")).first()[0] or 0
     lists = shared_keys(src, sketch, total / 4)
-    named = stored(lists.join(first.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")), "named")
-    mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    lists = stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
-    left, right = lists.alias("l"), lists.alias("r")
-    fits = F.expr("l.cls < r.cls and l.root <> r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)")
-    rest = left.join(right, F.expr("l.key = r.key") & fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
-    more = links_of(stored(sieved(rest, reps), "rest"), reps, src)
-
-    root = components(links.union(more))
+    root, found = first, [links]
+    for turn in range(REPRESENTATIVE_ROUNDS):
+        mixed = _mixed(lists, root)
+        one = mixed.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("m"))
+        more = links_of(stored(sieved(_across(one.select("key", "root", "m.cls", "m.n")), reps), "pairs"), reps, src)
+        if more.isEmpty():
+            break
+        found.append(more)
+        root = components(reduce(DataFrame.union, found))
+    rest = stored(sieved(_across(_mixed(lists, root)), reps), "rest")
+    if not rest.isEmpty():
+        found.append(links_of(rest, reps, src))
+        root = components(reduce(DataFrame.union, found))
     of_class = stored(reps.select("cls", "rep").join(root.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "roots")
     least = stored(of_class.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     answer = stored(of_class.join(least, "root").select("cls", "component_id"), "answer")
