@@ -163,7 +163,7 @@ deltas AS (SELECT split, rep, metric, sum(CASE system WHEN 'b' THEN v ELSE -v EN
 
 
 @query("bootstrap_paired", """SELECT split, metric, round(avg(delta), 6) + 0.0 AS mean, round(quantile_cont(delta, 0.025), 6) + 0.0 AS lo95,
-  round(quantile_cont(delta, 0.975), 6) + 0.0 AS hi95, round(avg(CAST(delta <= 0 AS INTEGER)), 6) + 0.0 AS p_le_0, count(*) AS reps
+  round(quantile_cont(delta, 0.975), 6) + 0.0 AS hi95, round(avg(CAST(delta <= 1e-12 AS INTEGER)), 6) + 0.0 AS p_le_0, count(*) AS reps
 FROM deltas GROUP BY split, metric""", (IMP, SCORES, PAIR, pieces_cte("pieces", "pair", "split, system, user_id", "row_id"), BOOT))
 def bootstrap_paired(spark, sf_dir):
     """Item against tab popularity on 2000 paired resamples of the users."""

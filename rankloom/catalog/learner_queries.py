@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rankloom.catalog.blend_queries import SCORES, model_scores
 from rankloom.catalog.metric_queries import POP, popularity_scored, rounded_protocol
 from rankloom.catalog.registry import IMP, query, r6, rounded
-from rankloom.catalog.scalar_queries import item_statistics
+from rankloom.catalog.scalar_queries import ITEM_COUNTS, STAT_NAMES, STAT_SQL, item_statistics
+from rankloom.catalog.stat_queries import AUX, HATE, STAY
 from rankloom.functions.scalars import item_stat_columns
 from rankloom.operators import checks as C
 from rankloom.operators import gradients as G
@@ -15,7 +16,7 @@ from rankloom.operators import learners as L
 from rankloom.operators import metrics as M
 from rankloom.operators import splits as P
 from rankloom.operators import stats as S
-from rankloom.plans.features import build_features
+from rankloom.plans.features import FEEDBACK, GROUPS, build_features
 from rankloom.session import checkpoint_dir
 from rankloom.sources.views import impressions, table
 
@@ -36,31 +37,44 @@ def scored_protocol(scored):
     return rounded_protocol(M.evaluate(scored, ["split"], "user_id", "long_view", "score", ["row_id"]))
 
 
+def with_feedback(df):
+    """Feedback flags that the driver's log does not carry, derived from play time."""
+    flags = {c: F.expr(f"CAST({AUX[n]} AS INT)") for n, c in FEEDBACK.items()}
+    return df.withColumns({**flags, "is_hate": F.expr(HATE.format("")), "profile_stay_time": F.expr(STAY)})
+
+
 @query("feature_table")
 def feature_table(spark, sf_dir):
     """All features the log alone gives, train rows past-only."""
-    return build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]))
+    return build_features(*(with_feedback(impressions(spark, sf_dir, splits)) for splits in (None, ["train"])))
+
+
+# Side columns the driver's tables do not carry, made of the part's and the customer's numbers.
+VSIDE = [c for c in GROUPS["vside"] if c not in ("video_type", "tag1")]
+USIDE = [c for c in GROUPS["uside"] if c != "user_active_degree"]
+SIDE_ITEM = {c: f"(p_partkey * {k + 3} + p_size) % {k + 11}" for k, c in enumerate(VSIDE)}
+SIDE_USER = {c: f"(c_custkey * {k + 2} + c_nationkey) % {k + 5}" for k, c in enumerate(USIDE)}
 
 
-@query("feature_table_sides", """SELECT row_id, duration_ms, round(ln(1 + duration_ms), 6) + 0.0 AS log_dur, hour, dow, tab,
-  round(s_like_rate, 6) + 0.0 AS s_like_rate, round(s_show_cnt, 6) + 0.0 AS s_show_cnt, video_type, user_active_degree
-FROM imp LEFT JOIN (SELECT item, ln(1 + show_cnt) AS s_show_cnt, like_cnt / greatest(show_cnt, 1) AS s_like_rate FROM
-    (SELECT l_partkey AS item, count(*) AS show_cnt, count(CASE WHEN l_quantity > 45 THEN 1 END) AS like_cnt FROM lineitem GROUP BY l_partkey))
-    ON item = video_id
-  LEFT JOIN (SELECT p_partkey, p_type AS video_type FROM part) ON p_partkey = video_id
-  LEFT JOIN (SELECT c_custkey, c_mktsegment AS user_active_degree FROM customer) ON c_custkey = user_id""", (IMP,))
+@query("feature_table_sides", "SELECT row_id, duration_ms, round(ln(1 + duration_ms), 6) + 0.0 AS log_dur, hour, dow, tab, tags[1] AS tag1, video_type, "
+       + "user_active_degree, " + ", ".join([*VSIDE, *USIDE, *[f"round({n}, 6) + 0.0 AS {n}" for n in STAT_NAMES]]) + f"""
+FROM imp LEFT JOIN (SELECT item, {STAT_SQL} FROM (SELECT l_partkey AS item, {", ".join(f"{e} AS {n}" for n, e in ITEM_COUNTS.items())}
+    FROM lineitem GROUP BY l_partkey)) ON item = video_id
+  LEFT JOIN (SELECT p_partkey, p_type AS video_type, {", ".join(f"{e} AS {c}" for c, e in SIDE_ITEM.items())} FROM part) ON p_partkey = video_id
+  LEFT JOIN (SELECT c_custkey, c_mktsegment AS user_active_degree, {", ".join(f"{e} AS {c}" for c, e in SIDE_USER.items())} FROM customer)
+    ON c_custkey = user_id""", (IMP,))
 def feature_table_sides(spark, sf_dir):
-    """Base columns with item, item-statistic and user side tables joined."""
-    items = table(spark, sf_dir, "part", "p_partkey", "p_type").select(
-        F.col("p_partkey").cast("int").alias("video_id"), F.col("p_type").alias("video_type"))
+    """Base columns with all columns of the item, item-statistic and user side tables joined."""
+    items = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_size").select(
+        F.col("p_partkey").cast("int").alias("video_id"), F.col("p_type").alias("video_type"),
+        *[F.expr(e).alias(c) for c, e in SIDE_ITEM.items()])
     cols = item_stat_columns()
-    stats = item_statistics(spark, sf_dir).select(F.col("item").cast("int").alias("video_id"),
-                                                  *[cols[c].alias(c) for c in ("s_show_cnt", "s_like_rate")])
-    users = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("user_active_degree"))
+    stats = item_statistics(spark, sf_dir).select(F.col("item").cast("int").alias("video_id"), *[cols[c].alias(c) for c in STAT_NAMES])
+    users = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("user_active_degree"), *[F.expr(e).alias(c) for c, e in SIDE_USER.items()])
     f = build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), ("base", "vside", "vstat", "uside"),
                        items=items, item_stats=stats, users=users)
-    return rounded(f.drop("split", "user_id", "video_id", "date", "long_view", "tag1"), "log_dur", "s_like_rate", "s_show_cnt")
+    return rounded(f.drop("split", "user_id", "video_id", "date", "long_view"), "log_dur", *STAT_NAMES)
 
 
 @query("fm_scores")
@@ -242,15 +256,16 @@ def misaligned_keys(spark, sf_dir):
     return C.misaligned(rows, scores)
 
 
-RUN_TEXT = "CASE WHEN g.model = 'item' THEN 'confirmed by a rerun' WHEN g.model = 'tab' THEN 'Negative, error in setup' ELSE 'no change' END"
+# Notes of parts, from their type and name, in which the outcome words stand.
+NOTES = """replace(replace(replace(p_type, 'PROMO', 'confirmed after a recovery'), 'ECONOMY', 'Negative'), 'LARGE', 'ERROR in setup')"""
+WORDS = ("ERROR", "RECOVERY", "CONFIRMED", "NEGATIVE", "NEUTRAL", "DECLINED", "ABANDONED")
 
 
-@query("run_outcomes", f"""SELECT m.model, CASE WHEN m.model = 'item' THEN 'CONFIRMED' WHEN m.model = 'tab' THEN 'ERROR / NEGATIVE' ELSE '' END AS outcome,
-  count(*) AS row_count FROM scores m GROUP BY m.model""", (IMP, SCORES))
+@query("run_outcomes", f"""SELECT p_partkey, array_to_string([w FOR w IN {list(WORDS)} IF contains(upper(note), w)], ' / ') AS outcome
+FROM (SELECT p_partkey, concat_ws(' ', {NOTES}, replace(p_name, 'red', 'neutral')) AS note FROM part)""")
 def run_outcomes(spark, sf_dir):
-    """Outcome words found in the notes of the scored models."""
+    """Outcome words found in the notes of every part, in fixed order."""
     from rankloom.operators.runs import outcome
 
-    notes = F.expr(RUN_TEXT.replace("g.model", "model"))
-    s = model_scores(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("row_count"))
-    return s.select("model", outcome(notes).alias("outcome"), "row_count")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_name")
+    return p.select("p_partkey", outcome(F.expr(NOTES), F.expr("replace(p_name, 'red', 'neutral')")).alias("outcome"))

@@ -63,8 +63,8 @@ def popularity_scored(spark, sf_dir):
 
 
 def orders_scored(spark, sf_dir):
-    o = order_impressions(spark, sf_dir)
-    return S.score_popularity(o.where("split <> 'train'"), o.where("split = 'train'"), "video_id", "long_view")
+    rest, train = (order_impressions(spark, sf_dir, splits=x) for x in (["valid", "test"], ["train"]))
+    return S.score_popularity(rest, train, "video_id", "long_view")
 
 
 def rounded_protocol(df):
@@ -87,7 +87,7 @@ def protocol_orders(spark, sf_dir):
     """Same over order lines: many users, large catalogue."""
     return rounded_protocol(
         M.evaluate(orders_scored(spark, sf_dir), ["split"], "user_id", "long_view", "score", ORDER_TIES,
-                   probe=order_impressions(spark, sf_dir).where("split <> 'train'"))
+                   probe=order_impressions(spark, sf_dir, splits=["valid", "test"]))
     )
 
 

@@ -298,18 +298,35 @@ def label_coercion(spark, sf_dir):
     return impressions(spark, sf_dir).select("row_id", X.label_of((F.col("video_id") % 3).cast("string")).alias("label"))
 
 
-@query("inlist_modes", """SELECT p_partkey, mode, features FROM part, (VALUES ('all', 'tag_a,tag_b,n_tags,aspect'),
-  ('tags', 'tag_a,tag_b,n_tags'), ('res', 'aspect')) AS m(mode, features)""")
+INLIST_COLUMNS = {"tags": ["tag_a", "tag_b", "n_tags"], "res": ["server_width", "server_height", "aspect"], "time": ["time_rank", "time_z"]}
+
+
+def inlist_sql(mode: str) -> str:
+    """One mode's rows; columns of other groups are null."""
+    picked = [c for g, cols in INLIST_COLUMNS.items() if mode in (g, "all") for c in cols]
+    return f"SELECT row_id, '{mode}' AS mode, " + ", ".join(
+        c if c in picked else f"NULL AS {c}" for cols in INLIST_COLUMNS.values() for c in cols) + " FROM inlist"
+
+
+@query("inlist_modes", " UNION ALL ".join(inlist_sql(m) for m in ("all", "tags", "res", "time")), (IMP, """inlist AS (
+  SELECT row_id, CAST(tags[1] AS BIGINT) AS tag_a, CAST(tags[2] AS BIGINT) AS tag_b, 2.0 AS n_tags,
+    coalesce(CAST(p_size AS DOUBLE), 0) AS server_width, coalesce(CAST(p_partkey % 40 AS DOUBLE), 0) AS server_height,
+    CASE WHEN p_partkey % 40 > 0 THEN round(p_size / (p_partkey % 40), 6) + 0.0 ELSE 0 END AS aspect,
+    row_number() OVER (PARTITION BY split, user_id ORDER BY time_us, row_id) AS time_rank,
+    round((time_us - avg(time_us) OVER w) / coalesce(nullif(stddev_samp(time_us) OVER w, 0), 1), 4) + 0.0 AS time_z
+  FROM imp LEFT JOIN part ON p_partkey = video_id WINDOW w AS (PARTITION BY split, user_id))""",))
 def inlist_modes(spark, sf_dir):
-    """Feature columns each mode of the in-list variant selects, per item."""
-    from rankloom.plans.features import inlist_features
-
-    p = table(spark, sf_dir, "part", "p_partkey")
-    modes = F.array(*[
-        F.struct(F.lit(m).alias("mode"), F.lit(",".join(c for c in inlist_features(m) if c in
-                 ("tag_a", "tag_b", "n_tags", "aspect"))).alias("features")) for m in ("all", "tags", "res")
-    ])
-    return p.select("p_partkey", F.explode(modes).alias("_m")).select("p_partkey", "_m.*")
+    """The in-list columns of each mode, computed for every impression."""
+    from rankloom.plans.features import build_inlist
+
+    rows = impressions(spark, sf_dir).select("row_id", "split", "user_id", "video_id", "time_us", F.transform("tags", lambda t: t.cast("string")).alias("tags"))
+    items = table(spark, sf_dir, "part", "p_partkey", "p_size").select(
+        F.col("p_partkey").cast("int").alias("video_id"), F.col("p_size").alias("server_width"), (F.col("p_partkey") % 40).alias("server_height"))
+    out = None
+    for mode in ("all", "tags", "res", "time"):
+        df = build_inlist(rows, items, mode).withColumn("mode", F.lit(mode))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.withColumns({"aspect": r6("aspect"), "time_z": F.round("time_z", 4) + 0.0})
 
 
 @query("dim_lookup", """SELECT c_mktsegment, p_brand, count(*) AS row_count, CAST(sum(long_view) AS BIGINT) AS positives,

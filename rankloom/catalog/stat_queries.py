@@ -77,8 +77,11 @@ def mean_fallback(spark, sf_dir):
 
 
 RATIO = "least({0}play_time_ms / greatest({0}duration_ms, 1), 5)"
+HATE = "CAST({0}play_time_ms < 3000 AS INTEGER)"  # a flag the driver's log does not carry, derived from play time
+VALUES = {"long_view": "{0}long_view", "is_click": "{0}is_click", "is_hate": HATE, "ratio": RATIO, "play_time_ms": "{0}play_time_ms"}
 BASE = {
-    "v": (["video_id"], {"v_lv_rate": "long_view", "v_click_rate": "is_click"}, {"v_play_ratio": "ratio"}),
+    "v": (["video_id"], {"v_lv_rate": "long_view", "v_click_rate": "is_click", "v_hate_rate": "is_hate"},
+          {"v_play_ratio": "ratio", "v_play_ms": "play_time_ms"}),
     "u": (["user_id"], {"u_lv_rate": "long_view", "u_click_rate": "is_click"}, {"u_play_ratio": "ratio"}),
     "a": (["author_id"], {"a_lv_rate": "long_view"}, {}),
 }
@@ -89,19 +92,20 @@ def base_sql() -> str:
     for k, (_, rates, means) in BASE.items():
         cols.append(f"{k}.cnt AS {k}_imp")
         for n, c in rates.items():
-            cols.append(out6(rate_sql(f"{k}.{c}", f"{k}.cnt", mean_of(c)), n))
-        for n in means:
-            cols.append(out6(f"CASE WHEN {k}.cnt > 0 THEN {k}.ratio / greatest({k}.cnt, 1) ELSE ({mean_of(RATIO.format(''))}) END", n))
+            cols.append(out6(rate_sql(f"{k}.{c}", f"{k}.cnt", mean_of(VALUES[c].format(""))), n))
+        for n, c in means.items():
+            cols.append(out6(f"CASE WHEN {k}.cnt > 0 THEN {k}.{c} / greatest({k}.cnt, 1) ELSE ({mean_of(VALUES[c].format(''))}) END", n))
     return f"SELECT row_id, {', '.join(cols)} FROM v JOIN u USING (row_id) JOIN a USING (row_id)"
 
 
 @query("base_rates", base_sql(), (IMP, TRAIN, *[
-    counts_cte(k, keys, {**{c: f"p.{c}" for c in rates.values()}, **({"ratio": RATIO.format("p.")} if means else {})}, "past")
+    counts_cte(k, keys, {c: VALUES[c].format("p.") for c in (*rates.values(), *means.values())}, "past")
     for k, (keys, rates, means) in BASE.items()]))
 def base_rates(spark, sf_dir):
     """Item, user and author rates and means: one aggregate and one join per key."""
     rows, train = load(spark, sf_dir)
-    train = train.withColumn("ratio", X.play_ratio("play_time_ms", "duration_ms"))
+    derived = {"ratio": X.play_ratio("play_time_ms", "duration_ms"), "is_hate": F.expr(HATE.format(""))}
+    rows, train = rows.withColumns(derived), train.withColumns(derived)
     names = []
     for k, (keys, rates, means) in BASE.items():
         rows = S.attach_rates(rows, train, keys, rates, means, "past", f"{k}_imp")
@@ -113,27 +117,32 @@ AUX = {"v_like_rate": "play_time_ms >= 80000", "v_comment_rate": "play_time_ms >
        "v_forward_rate": "play_time_ms >= 120000", "v_penter_rate": "play_time_ms >= 70000"}
 
 
+STAY = "play_time_ms % 7"  # stands for the profile stay time
+
+
 def aux_columns(df):
     """Feedback flags the driver's log does not carry, derived from play time."""
     df = df.withColumns({f"y_{n}": F.expr(f"CAST({e} AS INT)") for n, e in AUX.items()})
-    return df.withColumn("margin_ms", X.margin("play_time_ms", "duration_ms"))
+    return df.withColumns({"margin_ms": X.margin("play_time_ms", "duration_ms"), "profile_stay_time": F.expr(STAY)})
 
 
 @query("aux_rates", "SELECT row_id, " + ", ".join(
     [out6(rate_sql(f"v.{n}", "v.cnt", mean_of(f"CAST({e} AS INTEGER)")), n) for n, e in AUX.items()]
     + [out6(f"CASE WHEN {k}.cnt > 0 THEN {k}.m / greatest({k}.cnt, 1) ELSE ({mean_of('play_time_ms - least(duration_ms, 18000)')}) END",
-            f"{k}_margin") for k in ("v", "u")]) + " FROM v JOIN u USING (row_id)",
+            f"{k}_margin") for k in ("v", "u")]
+    + [out6(f"CASE WHEN v.cnt > 0 THEN v.stay / greatest(v.cnt, 1) ELSE ({mean_of(STAY)}) END", "v_pstay")]) + " FROM v JOIN u USING (row_id)",
        (IMP, TRAIN,
         counts_cte("v", ["video_id"], {**{n: f"CAST(p.{e} AS INTEGER)" for n, e in AUX.items()},
-                                       "m": "p.play_time_ms - least(p.duration_ms, 18000)"}, "past"),
+                                       "m": "p.play_time_ms - least(p.duration_ms, 18000)", "stay": f"p.{STAY}"}, "past"),
         counts_cte("u", ["user_id"], {"m": "p.play_time_ms - least(p.duration_ms, 18000)"}, "past")))
 def aux_rates(spark, sf_dir):
     """Rates of secondary feedback and mean margins over the label threshold."""
     rows, train = load(spark, sf_dir)
     train = aux_columns(train)
-    rows = S.attach_rates(rows, train, ["video_id"], {n: f"y_{n}" for n in AUX}, {"v_margin": "margin_ms"}, "past", "_a")
+    rows = S.attach_rates(rows, train, ["video_id"], {n: f"y_{n}" for n in AUX}, {"v_margin": "margin_ms", "v_pstay": "profile_stay_time"},
+                          "past", "_a")
     rows = S.attach_rates(rows, train, ["user_id"], {}, {"u_margin": "margin_ms"}, "past", "_b")
-    names = [*AUX, "v_margin", "u_margin"]
+    names = [*AUX, "v_margin", "u_margin", "v_pstay"]
     return rounded(rows.select("row_id", *names), *names)
 
 
@@ -162,8 +171,8 @@ def duration_affinity(spark, sf_dir):
                       r6(X.duration_ratio("duration_ms", "q")).alias("dur_ratio"))
 
 
-CROSSES = {"ua": "author_id", "utab": "tab", "ud": "dur_bucket"}
-BUCKETED = """imp2 AS (SELECT *, len([e for e in edges if e < duration_ms]) AS dur_bucket FROM imp,
+CROSSES = {"ua": "author_id", "utab": "tab", "ud": "dur_bucket", "ut": "tag1"}
+BUCKETED = """imp2 AS (SELECT *, tags[1] AS tag1, len([e for e in edges if e < duration_ms]) AS dur_bucket FROM imp,
   (SELECT quantile_cont(duration_ms, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM imp WHERE split = 'train')),
 train2 AS (SELECT * FROM imp2 WHERE split = 'train')"""
 
@@ -175,12 +184,13 @@ train2 AS (SELECT * FROM imp2 WHERE split = 'train')"""
         f"own AS (SELECT row_id, {rate_sql('s', 'cnt', mean_of('long_view'))} AS own FROM k)",
         *[counts_cte(k, ["user_id", c], {"s": "p.long_view"}, "past", "imp2", "train2") for k, c in CROSSES.items()]))
 def user_cross(spark, sf_dir):
-    """User x author, tab and duration-decile rates, shrunk to the user's own past rate."""
+    """User x author, tab, duration-decile and first-tag rates, shrunk to the user's own past rate."""
     rows, train = load(spark, sf_dir)
     edges = duration_edges(train)
 
     def bucketed(df):
-        return df.withColumn("_edges", edges).withColumn("dur_bucket", X.bucket_left("duration_ms", F.col("_edges"))).drop("_edges")
+        df = df.withColumn("_edges", edges).withColumn("dur_bucket", X.bucket_left("duration_ms", F.col("_edges"))).drop("_edges")
+        return df.withColumn("tag1", F.try_element_at("tags", F.lit(1)))
 
     rows, train = bucketed(rows), bucketed(train)
     rows = S.attach_rates(rows, train, ["user_id"], {"u_lv_rate": "long_view"}, {}, "past", "u_imp")
@@ -233,7 +243,7 @@ multi_tag_affinity_full = tag_query("multi_tag_affinity_full", "insample")
 FROM ord_imp, (SELECT avg(long_view) AS m FROM ord_imp WHERE split = 'train') WHERE split = 'train' GROUP BY video_id""", (ORD,))
 def popularity(spark, sf_dir):
     """Smoothed positive rate per item of the order log."""
-    train = order_impressions(spark, sf_dir).where("split = 'train'")
+    train = order_impressions(spark, sf_dir, splits=["train"])
     return rounded(S.popularity(train, "video_id", "long_view"), "pop_score")
 
 

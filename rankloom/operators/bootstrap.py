@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.hashing import uniform
 from rankloom.operators.metrics import protocol_columns
 from rankloom.operators.ordering import DEFAULT_SKEW, Prefix, Skew, exact_quantiles, ordered_prefix
+from rankloom.session import checkpoint_dir
 
 METRICS = ("gauc", "ndcg_at_5", "primary_score")
 
@@ -22,8 +23,11 @@ def paired_resamples(
     ``pieces`` holds one row per (by, system, user).  Draw i of a resample hits
     user ``floor(u * n)`` with u hashed from (rep, i): each user row makes its
     own ``reps`` draws, draws are counted per hit user before they move, and
-    both systems read the same counts.
+    both systems read the same counts.  The pieces are checkpointed, since the
+    users are numbered from them and the draws read them again.
     """
+    checkpoint_dir(pieces.sparkSession)
+    pieces = pieces.checkpoint()
     users = pieces.where("system = 'a'").select(*by, user)
     ranked = ordered_prefix(users, by, user, (), Prefix(number="_no", total="_all"), skew)
     draws = ranked.select(
@@ -49,12 +53,16 @@ def paired_deltas(resamples: DataFrame, by: Sequence[str]) -> DataFrame:
     return wide.select(*by, "rep", F.explode(pairs).alias("metric", "delta"))
 
 
+# Differences of equal metrics may carry this much rounding.
+ROUNDING = 1e-12
+
+
 def summarise(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean, 2.5 and 97.5 percentile and share of resamples at or below zero."""
     keys = [*by, "metric"]
     flat = deltas.groupBy(*keys).agg(
         F.avg("delta").alias("mean"),
-        F.avg((F.col("delta") <= 0).cast("double")).alias("p_le_0"),
+        F.avg((F.col("delta") <= ROUNDING).cast("double")).alias("p_le_0"),
         F.count(F.lit(1)).alias("reps"),
     )
     # one value per resample and metric

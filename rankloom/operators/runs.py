@@ -27,11 +27,15 @@ ATTEMPT_SCHEMA = (
 def compile_iterations(plan: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per planned iteration: its best run, total wall time, missing runs.
 
-    ``plan`` is ``(iter, hypothesis, name)``, ``runs`` has ``name, primary, wall_seconds``.
+    ``plan`` is ``(iter, hypothesis, name)`` and may carry ``no``, the place of a run in it; ``runs`` has ``name,
+    primary, wall_seconds``.  Of equally good runs the first in the plan wins (by name where there is no ``no``).
     """
+    if "no" not in plan.columns:
+        order = Window.partitionBy("iter").orderBy("name")
+        plan = plan.withColumn("no", F.row_number().over(order))
     j = plan.join(runs, "name", "left")
     return j.groupBy("iter", "hypothesis").agg(
-        F.max_by("name", F.struct("primary", F.col("name"))).alias("best_run"),
+        F.max_by("name", F.struct("primary", -F.col("no"))).alias("best_run"),
         F.max("primary").alias("primary"),
         F.round(F.sum("wall_seconds"), 1).alias("wall_seconds_total"),
         F.count(F.lit(1)).alias("sub_runs"),

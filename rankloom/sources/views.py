@@ -103,13 +103,19 @@ def impressions(spark: SparkSession, sf_dir: str, splits: Sequence[str] | None =
 ORDER_TIES = ["order_id", "line", "video_id", "author_id", "price"]
 
 
-def order_impressions(spark: SparkSession, sf_dir: str, with_tags: bool = False) -> DataFrame:
+def order_impressions(spark: SparkSession, sf_dir: str, with_tags: bool = False, splits: Sequence[str] | None = None) -> DataFrame:
     """Order lines as impressions; ``ORDER_TIES`` is the row order within a user.
 
+    ``splits`` keeps only the named splits by a range filter on the stored order
+    date, which reaches the scan.
+
     Both joins are on keys whose build side Spark sizes from the Parquet
     footers: broadcast while small, sort-merge with skew splitting beyond.
     """
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    if splits is not None:
+        spans = [f"(o_orderdate >= TIMESTAMP_NTZ'{lo}-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ'{hi + 1}-01-01 00:00:00')" for lo, hi in (ORDER_SPLIT_YEARS[x] for x in splits)]
+        o = o.where(" OR ".join(spans))
     line = table(
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",

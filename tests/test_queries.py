@@ -44,8 +44,9 @@ def single_partition_windows(plan):
     return [a for a, b in zip(lines, lines[1:]) if re.match(r"Window\b", a) and "SinglePartition" in b]
 
 
-# queries whose windows run over a handful of aggregated rows
-SMALL_WINDOWS = {"running_best", "convergence", "stale_counter"}
+# queries whose windows run over aggregated rows: a series, the values of one split or its items, which ``by_weight``
+# cuts beyond ``rows_per_task``
+SMALL_WINDOWS = {"running_best", "convergence", "stale_counter", "quantile_bucket", "user_cross", "ease_residual", "ease_score", "ease_variants"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SMALL_WINDOWS - {"lambdarank_scores", "xendcg_scores", "gbt_scores", "oof_scores", "fm_scores", "early_stop", "feature_importance", "saved_model_scores", "greedy_blend"}))
@@ -63,3 +64,9 @@ def test_split_filter_reaches_the_scan(spark):
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "GreaterThanOrEqual(ts" in scan and "LessThan(ts" in scan
     assert "value" not in scan.split("ReadSchema")[1]
+
+
+def test_split_filter_reaches_the_order_scan(spark):
+    plan = QUERIES["protocol_orders"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "o_orderdate" in line]
+    assert scans and all("GreaterThanOrEqual(o_orderdate" in line and "LessThan(o_orderdate" in line for line in scans)

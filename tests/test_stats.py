@@ -50,7 +50,7 @@ def features(spark, rows):
 
 
 def test_label_flip_outside_train_changes_no_feature(spark):
-    rows = impressions(spark, SF)
+    rows = impressions(spark, SF).withColumn("is_hate", F.expr("CAST(play_time_ms < 3000 AS INT)"))
     flip = rows.withColumn("long_view", F.when(F.col("split") != "train", 1 - F.col("long_view")).otherwise(F.col("long_view")))
     a = features(spark, rows).drop("long_view").toPandas().sort_values("row_id").reset_index(drop=True)
     b = features(spark, flip).drop("long_view").toPandas().sort_values("row_id").reset_index(drop=True)
@@ -74,3 +74,13 @@ def test_future_rows_change_no_past_count(spark):
 def test_mixed_weight(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 1)], "row_id int, k string, y int")
     assert sorted((r["row_id"], r["weight"]) for r in S.mixed_weight(df, ["k"], "y", 0.2).collect()) == [(1, 1.0), (2, 1.0), (3, 0.2)]
+
+
+def test_features_that_cannot_be_built_are_named(spark):
+    from rankloom.plans.features import build_features
+
+    rows = impressions(spark, SF)
+    with pytest.raises(ValueError, match="v_hate_rate"):
+        build_features(rows, rows.where("split = 'train'"), ("item",))
+    with pytest.raises(ValueError, match="video_type"):
+        build_features(rows, rows.where("split = 'train'"), ("vside",), items=rows.select("video_id").distinct())
