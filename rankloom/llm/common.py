@@ -155,8 +155,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of this task as a forest: each node with the root of its tree."""
+#: Links that one task joins by itself; more are first contracted by many.
+LINKS_PER_TASK = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """The edges of this task as a forest: each node with the root of its tree; ``roots`` adds the roots themselves."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -171,30 +175,35 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = list(parent)
         out = pa.RecordBatch.from_pydict({"a": pa.array(nodes, pa.int64()), "b": pa.array([root(x) for x in nodes], pa.int64())})
         parent.clear()
-        return out.filter(pc.not_equal(out["a"], out["b"]))
+        return out if roots else out.filter(pc.not_equal(out["a"], out["b"]))
 
     for batch in batches:
         for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
             rx, ry = root(x), root(y)
             if rx != ry:
                 parent[max(rx, ry)] = min(rx, ry)
-        if len(parent) > 1_000_000:  # bounded memory; what stays apart meets again in the next round
+        if len(parent) > 2 * LINKS_PER_TASK:  # bounded memory; what stays apart meets again in the next round
             yield flush()
     if parent:
         yield flush()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _forest(batches, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of the links (a, b): equal roots for connected nodes; the root is one of them.
 
     Rounds of contraction: each task replaces its links by a forest, every node takes the neighbour (or itself)
     of least hash, and links are relabelled by what was taken. Hashes change by round, so long chains shrink by a
-    constant factor; a hub with very many links costs one combined minimum and a join that Spark can split.
+    constant factor; a hub with very many links costs one combined minimum and a join that Spark can split. Once no
+    more than ``LINKS_PER_TASK`` links are left, one task joins them.
     """
     spark = edges.sparkSession
     left = stored(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
     maps = []
-    while not left.isEmpty():
+    while left.count() > LINKS_PER_TASK:
         seed = len(maps)
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
@@ -206,10 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(after.mapInArrow(_forest, "a long, b long"), "links")
         forget(left)
         left = after
+    out = left.coalesce(1).mapInArrow(_whole, "a long, b long").select(F.col("a").alias("id"), F.col("b").alias("root"))
     if not maps:
-        return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    out = maps[-1].select(F.col("a").alias("id"), F.col("p").alias("root"))
-    for taken in reversed(maps[:-1]):
+        return stored(out, "roots")
+    for taken in reversed(maps):
         up = stored(out, "roots")
         out = taken.join(up.withColumnRenamed("id", "p"), "p", "left").select(F.col("a").alias("id"), F.coalesce("root", "p").alias("root"))
     return stored(out, "roots")

@@ -57,8 +57,10 @@ def brute(edges):
     return {x: root(x) for x in parent}
 
 
+@pytest.mark.parametrize("limit", [500_000, 3])
 @pytest.mark.parametrize("kind", ["path", "star", "random", "none"])
-def test_components(spark, kind, monkeypatch):
+def test_components(spark, kind, limit, monkeypatch):
+    monkeypatch.setattr(common, "LINKS_PER_TASK", limit)
     r = random.Random(kind)
     edges = {
         "path": [(k, k + 1) for k in range(300)], "star": [(0, k) for k in range(1, 300)],
