@@ -232,7 +232,7 @@ def recompute_diff(spark, sf_dir):
     return C.table_diff(s.select("row_id", milli), changed.select("row_id", milli))
 
 
-@query("content_digest", """SELECT split, CAST(sum(CAST(('0x' || substr(md5(user_id || '|' || row_id || '|' || long_view), 1, 8)) AS BIGINT)) AS BIGINT) AS digest,
+@query("content_digest", """SELECT split, CAST(sum(CAST(('0x' || substr(md5(length(CAST(user_id AS VARCHAR)) || ':' || user_id || length(CAST(row_id AS VARCHAR)) || ':' || row_id || '1:' || long_view), 1, 8)) AS BIGINT)) AS BIGINT) AS digest,
   count(*) AS row_count FROM imp GROUP BY split""", (IMP,))
 def content_digest(spark, sf_dir):
     """Digest of the labels slice, independent of row order."""
