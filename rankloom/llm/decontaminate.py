@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased, ASCII signs count as space. Of each item the rarer half of its word trigrams (by documents of
-the corpus that hold them) are seeds. Where a document holds a seed, the words around it are aligned with the item
-(match +2, mismatch -1, gap -1); the best local score, as a part of a full copy's, decides. Edited and paraphrased
-copies keep some seed and most of the score.
+Words are lower-cased, ASCII signs count as space. Every word trigram of an item is a seed. Where a document holds
+one, the words around it are aligned with the item (match +2, mismatch -1, gap -1); the best local score, as a part of
+a full copy's, decides. Edited and paraphrased copies keep some seed and most of the score. No seed is left out for
+being common: what common ones find is dropped by two upper bounds of the score, words of the item that the document
+holds and the best run of such words in the window, so few places are aligned and none that could reach the threshold
+is lost.
 
 The test items are put on every machine in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents for
 each block, so a benchmark of any size is compared whole. Memory is bounded by a block and a slice of documents.
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import hash_words, slices, stored
 
 SEED_WORDS = 3
-LEAST_SEEDS = 8
 BLOCK_BYTES = 8 << 20
 #: Longer items count as found where this many words of them are.
 FULL_WORDS = 50
@@ -100,40 +101,32 @@ def _places(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents that hold each trigram of the items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), dtype=np.int64)
-        for _, raw in slices(batches, "text"):
-            hashes, offsets = plain_words(raw)
-            doc = _places(offsets)
-            key, at = items.keys(items.numbers(hashes), doc)
-            g = np.searchsorted(items.grams, key)
-            g[g == len(items.grams)] = 0
-            known = items.grams[g] == key if len(items.grams) else np.zeros(0, bool)
-            once = np.unique(g[known] * len(raw) + doc[at[known]])
-            np.add.at(total, once // len(raw), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(items.grams), dtype=np.int64)
-    for r in rows:
-        out[r["gram"]] = r["n"]
+def could(items: Items, numbers: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which (document, item) pairs, ordered by document, hold as many words of the item as a score of ``need`` takes."""
+    size = np.array([len(w) for w in items.words], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    words = np.concatenate([*items.words, np.empty(0, np.int64)])
+    held = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+    out = np.zeros(len(item), dtype=bool)
+    edge = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if a == b:
+            continue
+        own = numbers[offsets[doc[a]]:offsets[doc[a] + 1]]
+        held[own] = True
+        held[-1] = False  # words of no item
+        n = size[item[a:b]]
+        start = np.cumsum(n) - n
+        of = words[np.arange(n.sum()) + np.repeat(begin[item[a:b]] - start, n)]
+        out[a:b] = MATCH * np.add.reduceat(held[of].astype(np.int64), start) >= need[item[a:b]]
+        held[own] = False
     return out
 
 
-def seeds(items: Items, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, item) pairs that are seeds: the rarer half of each item's trigrams, ``LEAST_SEEDS`` at least."""
-    gram = np.repeat(np.arange(len(items.grams)), np.diff(items.gram_start))
-    order = np.lexsort((gram, counts[gram], items.gram_item))
-    item = items.gram_item[order]
-    begin = np.searchsorted(item, item)
-    have = np.searchsorted(item, item, side="right") - begin
-    keep = np.arange(len(item)) - begin < np.maximum((have + 1) // 2, LEAST_SEEDS)
-    pairs = np.stack([gram[order][keep], item[keep]])
-    return tuple(pairs[:, np.lexsort((pairs[1], pairs[0]))])
+def bound(inside: np.ndarray) -> int:
+    """The most an alignment with a window can score: its words gain where the item has them and cost where not."""
+    total = np.concatenate(([0], np.cumsum(np.where(inside, MATCH, max(MISMATCH, GAP)))))
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -151,11 +144,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def search(docs: DataFrame, items: Items, counts: np.ndarray, threshold: float) -> DataFrame:
-    gram, item_of = seeds(items, counts)
-    seed, first = np.unique(gram, return_index=True)
-    first = np.append(first, len(gram))
-    key_of = items.grams[seed]
+def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     full = np.array([MATCH * min(len(w), FULL_WORDS) for w in items.words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +154,19 @@ def search(docs: DataFrame, items: Items, counts: np.ndarray, threshold: float)
             doc = _places(offsets)
             numbers = items.numbers(hashes)
             key, at = items.keys(numbers, doc)
-            s = np.searchsorted(key_of, key)
-            s[s == len(key_of)] = 0
-            known = key_of[s] == key if len(key_of) else np.zeros(0, bool)
-            s, at = s[known], at[known]
-            n = first[s + 1] - first[s]
+            g = np.searchsorted(items.grams, key)
+            g[g == len(items.grams)] = 0
+            known = items.grams[g] == key if len(items.grams) else np.zeros(len(key), bool)
+            g, at = g[known], at[known]
+            n = items.gram_start[g + 1] - items.gram_start[g]
             rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item, place = item_of[np.repeat(first[s], n) + rank], np.repeat(at, n)
+            item, place = items.gram_item[np.repeat(items.gram_start[g], n) + rank], np.repeat(at, n)
             order = np.lexsort((place, item, doc[place]))
             item, place = item[order], place[order]
+            pair = np.append(True, (item[1:] != item[:-1]) | (doc[place][1:] != doc[place][:-1])) if len(item) else np.zeros(0, bool)
+            some = could(items, numbers, offsets, doc[place[pair]], item[pair], threshold * full)[np.cumsum(pair) - 1]
+            item, place = item[some], place[some]
+            inside = np.zeros(len(items.vocabulary) + 1, dtype=bool)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             k = 0
             while k < len(item):  # a run of seeds of one item that stand near each other
@@ -184,7 +177,10 @@ def search(docs: DataFrame, items: Items, counts: np.ndarray, threshold: float)
                 lo, hi = max(offsets[d], place[k] - 2 * size), min(offsets[d + 1], place[j - 1] + 2 * size)
                 window = numbers[lo:hi]
                 need = threshold * full[i]
-                if MATCH * np.isin(window, items.words[i]).sum() >= need:
+                inside[items.words[i]] = True
+                most = bound(inside[window])
+                inside[items.words[i]] = False
+                if most >= need:
                     score, end = align(items.words[i], window)
                     if score >= need and score > best.get((d, i), (0,))[0]:
                         _, back = align(items.words[i][::-1], window[:end][::-1])
@@ -217,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         items = make_items(sorted(((r["item_id"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r)))
         if blocks > 1 and sum(map(len, items.words)) == 0:
             continue
-        found = search(src, items, gram_counts(src, items), threshold)
+        found = search(src, items, threshold)
         found = stored(found, "contaminated") if blocks > 1 else found
         out = found if out is None else out.union(found)
     return out

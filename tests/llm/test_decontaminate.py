@@ -90,3 +90,26 @@ def test_clean_documents_and_empty_tables(spark):
     assert {r["doc_id"] for r in d.clean_documents(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in leaks} | {None}
     assert found(spark, docs, []).count() == 0
     assert d.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_single_edited_copies_and_an_excerpt(spark):
+    r = random.Random(8)
+    items = [(k, [f"w{r.randrange(400)}" for _ in range(r.choice([20, 40]))]) for k in range(80)]
+    docs = []
+    for k, words in items:  # one copy of each, 20 to 25 % of its words replaced
+        copy = [*words]
+        for at in r.sample(range(len(copy)), int(len(copy) * r.choice([0.2, 0.25]))):
+            copy[at] = f"new{at}"
+        docs.append((k, [f"f{k}x{j}" for j in range(20)] + copy))
+    long = [f"long{j}" for j in range(400)]
+    items.append((80, long))
+    docs.append((80, ["before", *long[170:220], "behind"]))
+    grams = lambda words: set(zip(words, words[1:], words[2:], strict=False))
+    expect = {k for (k, words), (_, text) in zip(items[:80], docs[:80], strict=True) if plain_alignment(words, text) >= len(words) and grams(words) & grams(text)}
+    assert len(expect) > 60
+    # a common passage that leaves one item only common trigrams: a full copy's rarer ones must not hide an edited one's
+    docs += [(100 + k, items[1][1][: len(items[1][1]) * 2 // 3] + [f"g{k}"]) for k in range(20)] + [(200, items[1][1])]
+    got = found(spark, [(i, " ".join(t)) for i, t in docs], [(i, " ".join(t)) for i, t in items]).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got if x["doc_id"] < 80} == {(k, k) for k in expect}
+    assert [x["score"] for x in got if x["doc_id"] == 80] == [1.0]
+    assert {x["doc_id"] for x in got if x["doc_id"] >= 100} == {*range(100, 120), 200}
