@@ -26,14 +26,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document of least id; rows without an id stay."""
-    joined = stored(jaccard.join(docs), "joined")
-    kept = joined.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    repeated = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    return out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Keeps of each group of near copies one row of the least id; rows without an id or without shingles stay.
+
+    An id may stand on several rows: each is judged by its own text, and goes only with its own group.
+    """
+    joined = stored(jaccard.join(docs, members=True).where("doc_id is not null"), "joined")
+    first = joined.where("root is not null and doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key"))
+    alone = joined.where("root is null").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    kept = first.select("_id", "_key", F.lit(True).alias("_one")).union(alone.withColumn("_one", F.lit(False)))
+    columns = [f"_c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*columns)
+    row_id, text = (columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    named = rows.where(F.col(row_id).isNotNull()).withColumn("_id", F.col(row_id).cast("long")).withColumn("_key", jaccard.text_key(text))
+    out = named.join(kept, ["_id", "_key"])
+    if not joined.where("root is not null").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        out = out.where("not _one").unionByName(out.where("_one").dropDuplicates(["_id", "_key"]))
+    return out.select(*columns).union(rows.where(F.col(row_id).isNull())).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

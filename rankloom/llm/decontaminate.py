@@ -52,6 +52,11 @@ class Items:
     gram_start: np.ndarray
     maybe: np.ndarray
 
+    @property
+    def full(self) -> np.ndarray:
+        """The score of a full copy of each item."""
+        return np.array([MATCH * min(len(w), FULL_WORDS) for w in self.words], dtype=np.int64)
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the items' vocabulary, -1 if it has none."""
         out = np.full(len(hashes), -1, dtype=np.int64)
@@ -144,49 +149,55 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def held(raw: list[bytes], items: Items, threshold: float) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For each text and item it holds: the best score, and the words where that place begins and ends."""
+    full = items.full
+    hashes, offsets = plain_words(raw)
+    doc = _places(offsets)
+    numbers = items.numbers(hashes)
+    key, at = items.keys(numbers, doc)
+    g = np.searchsorted(items.grams, key)
+    g[g == len(items.grams)] = 0
+    known = items.grams[g] == key if len(items.grams) else np.zeros(len(key), bool)
+    g, at = g[known], at[known]
+    n = items.gram_start[g + 1] - items.gram_start[g]
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    item, place = items.gram_item[np.repeat(items.gram_start[g], n) + rank], np.repeat(at, n)
+    order = np.lexsort((place, item, doc[place]))
+    item, place = item[order], place[order]
+    pair = np.append(True, (item[1:] != item[:-1]) | (doc[place][1:] != doc[place][:-1])) if len(item) else np.zeros(0, bool)
+    some = could(items, numbers, offsets, doc[place[pair]], item[pair], threshold * full)[np.cumsum(pair) - 1]
+    item, place = item[some], place[some]
+    inside = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    k = 0
+    while k < len(item):  # a run of seeds of one item that stand near each other
+        i, d, size = int(item[k]), int(doc[place[k]]), len(items.words[item[k]])
+        j = k + 1
+        while j < len(item) and item[j] == i and doc[place[j]] == d and place[j] - place[j - 1] <= 2 * size:
+            j += 1
+        lo, hi = max(offsets[d], place[k] - 2 * size), min(offsets[d + 1], place[j - 1] + 2 * size)
+        window = numbers[lo:hi]
+        need = threshold * full[i]
+        inside[items.words[i]] = True
+        most = bound(inside[window])
+        inside[items.words[i]] = False
+        if most >= need:
+            score, end = align(items.words[i], window)
+            if score >= need and score > best.get((d, i), (0,))[0]:
+                _, back = align(items.words[i][::-1], window[:end][::-1])
+                best[d, i] = score, int(lo + end - back - offsets[d]), int(lo + end - offsets[d])
+        k = j
+    return best
+
+
 def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    full = np.array([MATCH * min(len(w), FULL_WORDS) for w in items.words])
+    full = items.full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in slices(batches, "text"):
             ids = part["doc_id"].to_pylist()
-            hashes, offsets = plain_words(raw)
-            doc = _places(offsets)
-            numbers = items.numbers(hashes)
-            key, at = items.keys(numbers, doc)
-            g = np.searchsorted(items.grams, key)
-            g[g == len(items.grams)] = 0
-            known = items.grams[g] == key if len(items.grams) else np.zeros(len(key), bool)
-            g, at = g[known], at[known]
-            n = items.gram_start[g + 1] - items.gram_start[g]
-            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item, place = items.gram_item[np.repeat(items.gram_start[g], n) + rank], np.repeat(at, n)
-            order = np.lexsort((place, item, doc[place]))
-            item, place = item[order], place[order]
-            pair = np.append(True, (item[1:] != item[:-1]) | (doc[place][1:] != doc[place][:-1])) if len(item) else np.zeros(0, bool)
-            some = could(items, numbers, offsets, doc[place[pair]], item[pair], threshold * full)[np.cumsum(pair) - 1]
-            item, place = item[some], place[some]
-            inside = np.zeros(len(items.vocabulary) + 1, dtype=bool)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            k = 0
-            while k < len(item):  # a run of seeds of one item that stand near each other
-                i, d, size = int(item[k]), int(doc[place[k]]), len(items.words[item[k]])
-                j = k + 1
-                while j < len(item) and item[j] == i and doc[place[j]] == d and place[j] - place[j - 1] <= 2 * size:
-                    j += 1
-                lo, hi = max(offsets[d], place[k] - 2 * size), min(offsets[d + 1], place[j - 1] + 2 * size)
-                window = numbers[lo:hi]
-                need = threshold * full[i]
-                inside[items.words[i]] = True
-                most = bound(inside[window])
-                inside[items.words[i]] = False
-                if most >= need:
-                    score, end = align(items.words[i], window)
-                    if score >= need and score > best.get((d, i), (0,))[0]:
-                        _, back = align(items.words[i][::-1], window[:end][::-1])
-                        best[d, i] = score, int(lo + end - back - offsets[d]), int(lo + end - offsets[d])
-                k = j
-            rows = [(ids[d], items.ids[i], b[0] / float(full[i]), b[1], b[2]) for (d, i), b in best.items()]
+            rows = [(ids[d], items.ids[i], b[0] / float(full[i]), b[1], b[2]) for (d, i), b in held(raw, items, threshold).items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "begin_word", "end_word"])
@@ -194,6 +205,20 @@ def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, item_id long, score double, begin_word long, end_word long")
 
 
+def blocks_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Iterator[tuple[Items, int]]:
+    """The test items in blocks of about half of ``BLOCK_BYTES``, with the number of blocks."""
+    test = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text")).where("text is not null")
+    size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # half of the bound on average; items are spread by their hash
+    blocks = 1 + int(2 * size // BLOCK_BYTES)
+    for k in range(blocks):
+        block = test if blocks == 1 else test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        items = make_items(sorted(((r["item_id"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r)))
+        if blocks > 1 and sum(map(len, items.words)) == 0:
+            continue
+        yield items, blocks
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, begin_word, end_word): documents that hold a copy of a test item, edited or not.
@@ -203,16 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     fewer than three words. Repeated rows give repeated pairs; rows without an id keep the null.
     """
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    test = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text")).where("text is not null")
-    size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # half of the bound on average; items are spread by their hash
-    blocks = 1 + int(2 * size // BLOCK_BYTES)
     out = None
-    for k in range(blocks):
-        block = test if blocks == 1 else test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = make_items(sorted(((r["item_id"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r)))
-        if blocks > 1 and sum(map(len, items.words)) == 0:
-            continue
+    for items, blocks in blocks_of(benchmark, item_id, item_text):
         found = search(src, items, threshold)
         found = stored(found, "contaminated") if blocks > 1 else found
         out = found if out is None else out.union(found)
@@ -220,6 +237,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that hold no test item."""
-    bad = stored(contaminated(docs, benchmark, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) that hold no test item, each judged by its own text."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    kind = ", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
+    out = docs.toDF(*names)
+    for items, _ in blocks_of(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for part, raw in slices(batches, names[at]):
+                bad = {d for d, _ in held(raw, items, threshold)}
+                yield part.filter(pa.array([d not in bad for d in range(len(raw))], pa.bool_()))
+
+        out = out.mapInArrow(run, kind)
+    return out.toDF(*docs.columns)

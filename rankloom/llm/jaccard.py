@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import components, forget, mix, parts_for, signed, slices, stored, words_of
@@ -132,7 +132,7 @@ def _sketch_bin(h: np.ndarray) -> np.ndarray:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; at the end of the task, rows with its part of the sketch."""
-    names = ["doc_id", "n", "cls", "least", "parity", "block", "counts"]
+    names = ["doc_id", "n", "cls", "least", "parity", "block", "counts", "key"]
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for part, raw in slices(batches, "text"):
         h, offsets = shingle_sets(raw)
@@ -143,10 +143,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [part["doc_id"], pa.array(n.astype(np.int64)), pa.array(classes(h, offsets), mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(least)),
-             pa.array([parity(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *nothing], names)
+             pa.array([parity(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *nothing, part["key"]], names)
     blocks = [x.tobytes() for x in np.split(sketch, SKETCH_BLOCKS)]
     none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary()), pa.nulls(SKETCH_BLOCKS, pa.int64())], names)
 
 
 def _sum_sketch(rows: DataFrame) -> np.ndarray:
@@ -391,16 +391,22 @@ def _across(lists: DataFrame) -> DataFrame:
     return lists.alias("l").join(lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_key(text: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.col(text), F.octet_length(text))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row.
 
     ``component_id`` is the least id reachable by links, itself included. A null, empty or blank text has no shingles
     and links with nothing; texts of fewer than five words are one shingle. A row with a null id links with nothing
-    and has a null component. Equal sets link (repeated rows too).
+    and has a null component. Equal sets link (repeated rows too). ``members`` adds ``root``, which names the row's own
+    component (null where it can link with nothing), and ``key``, the ``text_key`` of its text.
     """
-    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, parity binary, block int, counts binary"), "summaries")
-    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "parity")
+    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("key", text_key("text"))
+    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, parity binary, block int, counts binary, key long"), "summaries")
+    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "parity", "key")
     sketch = _sum_sketch(rows.where("block is not null"))
     reps = stored(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity")), "classes")
 
@@ -429,6 +435,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         root = components(reduce(DataFrame.union, found))
     of_class = stored(reps.select("cls", "rep").join(root.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "roots")
     least = stored(of_class.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    answer = stored(of_class.join(least, "root").select("cls", "component_id"), "answer")
-    thin = known.select("doc_id", "n", "cls")
-    return thin.join(answer, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    answer = stored(of_class.join(least, "root").select("cls", "component_id", "root"), "answer")
+    thin = known.select("doc_id", "n", "cls", "key").join(answer, "cls", "left")
+    return thin.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["root", "key"] if members else []))

@@ -71,6 +71,25 @@ def test_one_row_stays_of_repeated_ids(spark):
     assert jaccard.join(docs).count() == 4
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    copied, alone, other = "a b c d e f g", "rows of another text under the same id", "one more text of the seventh id"
+    rows = [(3, copied), (7, copied), (7, alone), (7, other), (7, other), (8, "q r s t u v w x y z 1 2 3 4 5 6 7 8 9"), (8, "q r s t u v w x y z 1 2 3 4 5 6 7 8 9 0"), (9, ""), (9, None), (None, copied)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()]
+    assert sorted(x for x in got if x[0] in (3, 7)) == [(3, copied), (7, other), (7, alone)]
+    assert sum(x[0] == 8 for x in got) == 1 and {x[1] for x in got if x[0] == 9} == {"", None} and (None, copied) in got and len(got) == 7
+
+
+def test_contaminated_rows_take_no_other_rows_along(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item), (None, "clean"), (5, item), (5, "clean too"), (6, None)]
+    docs = spark.createDataFrame([(t, i, 3) for i, t in rows], "text string, doc_id long, n int")
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(None, "clean"), (5, "clean too"), (6, None)}
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.queries()) <= names and "pipeline" in names
