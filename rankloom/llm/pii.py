@@ -1,22 +1,29 @@
 """Information-theoretic sanitisation of personal data.
 
 Four kinds of base spans (email, ip, card, phone) are found by pattern. Each distinct value is a protected entity.
-A term (word) that stands in the same lines as an entity may give it away even where the value itself is masked.
-How strongly is estimated over the whole corpus: with c(t, e) documents that hold both in one line, c(t), c(e) and N
-documents, it reveals PMI = log2(N c(t, e) / (c(t) c(e))) bits of the -log2(c(e) / N) bits that the entity carries.
-Terms that reveal at least ``threshold`` of them, in ``min_lines`` different lines at least, are masked in the lines
-that hold the entity: generalised to a class of words, or removed if they reveal at least ``remove`` of them.
+A term (word) that stands near an entity, ``WINDOW`` words to either side whatever lines they are in, may give it
+away even where the value itself is masked. How strongly is estimated for every entity over the whole corpus: with
+c(t, e) documents that hold both near each other, c(t), c(e) and N documents, it reveals
+PMI = log2(N c(t, e) / (c(t) c(e))) bits of the -log2(c(e) / N) bits that the entity carries. Terms that reveal at
+least ``threshold`` of them are masked in the whole documents that hold the entity: generalised to a class of words,
+or removed if they reveal at least ``remove`` of them.
+
+Small counts: any word of a single document reveals all about a value that stands in that document only. Where t and
+e meet in k different windows (copies count once) and k is below ``min_lines``, the term counts only if chance does not
+explain it: of V terms at most about as frequent as t (within a power of two), chance puts at most V m^k / k! near k of
+the K windows of e, m = K c(t) / N; this has to be ``chance`` at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import slices, stored
@@ -29,8 +36,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"\w+(?:['’-]\w+)*")
-#: Candidate terms that are counted over the corpus in one pass.
-TERMS_PER_PASS = 200_000
+#: Words to either side of an entity that stand near it.
+WINDOW = 24
+#: Different terms that a task counts before it hands them on.
+TERMS_HELD = 200_000
+#: Documents are sorted out by the bucket of their text before those with disclosing terms are joined.
+BUCKETS = 1 << 20
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -84,119 +95,125 @@ def entity_key(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little") >> 1
 
 
-FOUND = "doc_id long, spans array<struct<kind:string,begin:int,finish:int>>, lines array<struct<begin:int,text:string,entities:array<long>>>"
+def terms_of(text: str, spans: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """Words outside base spans, lower-cased, with their places."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in (base_spans(text) if spans is None else spans)):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    out, k = [], 0
+    for m in TERM.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.end() <= taken[k][0]:
+            out.append((m[0].lower(), *m.span()))
+    return out
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base spans, and the lines they stand in with the entities of each: one row per input row, a null text empty."""
+def short_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") >> 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in slices(batches, "text"):
-            spans, lines = [], []
-            for t in raw:
-                s = t.decode("utf-8", "replace")
-                found = base_spans(s)
-                held: dict[int, dict] = {}
-                for kind, a, b in found:
-                    begin = s.rfind("\n", 0, a) + 1
-                    end = s.find("\n", b)
-                    line = held.setdefault(begin, {"begin": begin, "text": s[begin:end if end >= 0 else None], "entities": set()})
-                    line["entities"].add(entity_key(kind, s[a:b]))
-                spans.append([{"kind": k, "begin": a, "finish": b} for k, a, b in found])
-                lines.append([x | {"entities": sorted(x["entities"])} for x in held.values()])
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(spans, KIND_SPANS), pa.array(lines, KIND_LINES)], ["doc_id", "spans", "lines"])
 
-    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return src.mapInArrow(run, FOUND)
+def near(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """For each entity of a text the different terms near it, and a hash of what stands near it."""
+    words = terms_of(text, spans)
+    starts = [a for _, a, _ in words]
+    held: dict[int, list[str]] = {}
+    for kind, a, b in spans:
+        i, j = bisect_left(starts, a), bisect_left(starts, b)
+        held.setdefault(entity_key(kind, text[a:b]), []).extend(t for t, _, _ in words[max(0, i - WINDOW):i] + words[j:j + WINDOW])
+    return [{"entity": e, "window": short_hash("\0".join(w)), "terms": sorted(set(w))} for e, w in held.items()]
 
 
-KIND_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("finish", pa.int32())]))
-KIND_LINES = pa.list_(pa.struct([("begin", pa.int32()), ("text", pa.string()), ("entities", pa.list_(pa.int64()))]))
+FOUND = "near array<struct<entity:long,window:long,terms:array<string>>>, key long"
+KIND_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("terms", pa.list_(pa.string()))]))
 
 
-def terms_of(line: str) -> list[tuple[str, int, int]]:
-    """Words outside base spans, lower-cased, with their places."""
-    taken = [(a, b) for _, a, b in base_spans(line)]
-    return [(m[0].lower(), *m.span()) for m in TERM.finditer(line) if all(m.end() <= a or m.start() >= b for a, b in taken)]
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.col(text), F.octet_length(text))
 
 
-def _line_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = {"doc_id": [], "line": [], "entity": [], "term": []}
-        for doc, text, entities in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["entities"].to_pylist(), strict=True):
-            line = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") >> 1
-            terms = sorted({t for t, _, _ in terms_of(text)})
-            for e in entities:
-                out["doc_id"] += [doc] * len(terms)
-                out["line"] += [line] * len(terms)
-                out["entity"] += [e] * len(terms)
-                out["term"] += terms
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["line"], pa.int64()), pa.array(out["entity"], pa.int64()), pa.array(out["term"], pa.string())], list(out))
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row's entities with what stands near them; rows without entities are left out. ``key`` is of the text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in slices(batches, "text"):
+            out, keys = [], []
+            for t, key in zip(raw, part["key"].to_pylist(), strict=True):
+                s = t.decode("utf-8", "replace")
+                if found := base_spans(s):
+                    out.append(near(s, found))
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(out, KIND_NEAR), pa.array(keys, pa.int64())], ["near", "key"])
+
+    return docs.select(docs[text].cast("string").alias("text")).withColumn("key", text_key("text")).mapInArrow(run, FOUND)
 
-def count_terms(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(term, n): documents that hold each term; one pass for all of them."""
-    wanted = frozenset(terms)
+
+def count_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): rows that hold each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+            seen.clear()
+            return out
+
         for _, raw in slices(batches, "text"):
             for t in raw:
-                seen.update(wanted.intersection(TERM.findall(t.decode("utf-8", "replace").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen.update({w.lower() for w in set(TERM.findall(t.decode("utf-8", "replace")))})
+                if len(seen) > TERMS_HELD:
+                    yield flush()
+        yield flush()
 
     return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosure(docs: DataFrame, found: DataFrame, threshold: float = 0.8, min_lines: int = 3, text: str = "text") -> DataFrame:
-    """(entity, term, reveals): terms that give an entity away, with the part of its information they reveal.
-
-    Lines, not copies of them, are counted for ``min_lines``: an entity met in fewer different lines has no terms
-    that could be told from chance, and is left out before any term is looked at.
-    """
-    lines = found.where("size(lines) > 0").select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.text", "l.entities")
-    by_entity = lines.select("doc_id", F.xxhash64("text").alias("line"), F.explode("entities").alias("entity"))
-    often = stored(by_entity.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_lines).drop("k"), "often")
-    columns = "entity long, term string, reveals double"
-    spark = docs.sparkSession
-    if often.isEmpty():
-        return spark.createDataFrame([], columns)
-    kept = lines.withColumn("e", F.explode("entities")).join(often.withColumnRenamed("entity", "e"), "e").select("doc_id", "text", F.array("e").alias("entities"))
-    pairs = stored(kept.mapInArrow(_line_terms, "doc_id long, line long, entity long, term string"), "terms")
-    both = pairs.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_lines)
-    both = both.join(pairs.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")), ["entity", "term"])
-    both = stored(both, "both")
-    entity = stored(by_entity.select("entity", "doc_id").distinct().join(often, "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")), "entities")
-    total = docs.count()
-    terms = stored(both.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, both.select("term").distinct().count() // TERMS_PER_PASS + 1)))), "terms")
-    counts = None
-    for r in terms.select("block").distinct().orderBy("block").collect():
-        block = [t["term"] for t in terms.where(F.col("block") == r["block"]).toLocalIterator()]
-        n = stored(count_terms(docs, block, text), "counts")
-        counts = n if counts is None else counts.union(n)
-    if counts is None:
-        return spark.createDataFrame([], columns)
-    bits = F.log2(F.lit(float(total)) / F.col("c_e"))
-    pmi = F.log2(F.lit(float(total)) * F.col("c_te") / (F.col("n") * F.col("c_e")))
-    scored = both.join(entity, "entity").join(counts, "term").select("entity", "term", F.when(bits > 0, pmi / bits).otherwise(0.0).alias("reveals"))
+def disclosure(docs: DataFrame, found: DataFrame, threshold: float = 0.8, min_lines: int = 3, text: str = "text", chance: float = 0.05) -> DataFrame:
+    """(entity, term, reveals): terms that give an entity away, with the part of its information they reveal."""
+    met = found.select(F.explode("near").alias("x")).select("x.entity", "x.window", "x.terms")
+    entity = met.groupBy("entity", "window").agg(F.count(F.lit(1)).alias("c")).groupBy("entity").agg(F.sum("c").alias("c_e"), F.count(F.lit(1)).alias("k_e"))
+    both = met.select("entity", "window", F.explode("terms").alias("term")).groupBy("entity", "term", "window").agg(F.count(F.lit(1)).alias("c"))
+    both = both.groupBy("entity", "term").agg(F.sum("c").alias("c_te"), F.count(F.lit(1)).alias("k"))
+    counts = stored(count_terms(docs, text), "counts")
+    level = F.floor(F.log2("n")).cast("int")
+    by_level = {r["level"]: r["v"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect()}
+    vocabulary = F.array(*[F.lit(float(sum(v for at, v in by_level.items() if at <= k))) for k in range(64)])
+    total = F.lit(float(docs.count()))
+    scored = both.join(entity, "entity").join(counts, "term")
+    by_chance = vocabulary[level] * F.pow(F.col("k_e") * F.col("n") / total, F.col("k")) / F.factorial(F.least(F.col("k"), F.lit(20)).cast("int"))
+    scored = scored.where((F.col("k") >= min_lines) | (by_chance <= chance))
+    bits = F.log2(total / F.col("c_e"))
+    pmi = F.log2(total * F.col("c_te") / (F.col("n") * F.col("c_e")))
+    scored = scored.select("entity", "term", F.when(bits > 0, pmi / bits).otherwise(0.0).alias("reveals"))
     return stored(scored.where(F.col("reveals") >= threshold), "disclosing")
 
 
-def term_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(doc_id, terms): places of disclosing terms in the lines of the entities they reveal."""
-    lines = found.where("size(lines) > 0").select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.begin", "l.text", F.explode("l.entities").alias("entity"))
-    hits = lines.join(disclosing, "entity").groupBy("doc_id", "begin", "text", "term").agg(F.max("reveals").alias("reveals"))
+def disclosed(found: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(key, told): for each text the terms that give one of its entities away."""
+    held = found.select("key", F.explode("near.entity").alias("entity")).distinct()
+    terms = held.join(disclosing, "entity").groupBy("key", "term").agg(F.max("reveals").alias("reveals"))
+    return stored(terms.groupBy("key").agg(F.collect_list(F.struct("term", "reveals")).alias("told")), "told")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, begin, text, term, reveals in zip(*(b[c].to_pylist() for c in ("doc_id", "begin", "text", "term", "reveals")), strict=True):
-                out += [(doc, begin + x, begin + y, reveals) for t, x, y in terms_of(text) if t == term]
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "begin", "finish", "reveals"])
 
-    places = hits.mapInArrow(run, "doc_id long, begin int, finish int, reveals double").groupBy("doc_id", "begin", "finish").agg(F.max("reveals").alias("reveals"))
-    return places.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "finish", "reveals"))).alias("terms"))
+def with_told(src: DataFrame, text: str, told: DataFrame) -> DataFrame:
+    """``src`` with the column ``told``. Only rows whose text may have one are joined."""
+    src = src.withColumn("key", text_key(text))
+    bucket = F.pmod("key", F.lit(BUCKETS)).cast("int")
+    wanted = F.broadcast(told.select(bucket.alias("bucket")).distinct())  # at most BUCKETS numbers
+    src = src.withColumn("bucket", bucket)
+    some = src.join(wanted, "bucket", "left_semi").drop("bucket").join(told, "key", "left")
+    rest = src.join(wanted, "bucket", "left_anti").drop("bucket").withColumn("told", F.lit(None).cast(told.schema["told"].dataType))
+    return some.unionByName(rest).drop("key")
+
+
+def places(text: str, spans: list[tuple[str, int, int]], told: list[dict] | None) -> list[tuple[int, int, float]]:
+    """Where a text's disclosing terms stand."""
+    reveals = {x["term"]: x["reveals"] for x in told or []}
+    return [(a, b, reveals[t]) for t, a, b in terms_of(text, spans) if t in reveals] if reveals else []
 
 
 def generalise(term: str) -> str:
@@ -217,16 +234,31 @@ def mask(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int, in
     return "".join([*out, text[at:]])
 
 
+KIND_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("finish", pa.int32())]))
+KIND_TERMS = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32()), ("reveals", pa.float64())]))
+
+
 def detect(docs: DataFrame, threshold: float = 0.8, min_lines: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans, terms): base spans and disclosing terms of every row; empty arrays where there are none.
 
-    A null or empty text has none. Rows of one id with different texts share the terms' places.
+    A null or empty text has none. Rows of one id are each judged by their own text.
     """
     found = stored(find(docs, doc_id, text), "found")
-    disclosing = disclosure(docs, found, threshold, min_lines, text)
-    terms = stored(term_spans(found, disclosing), "spans")
-    kind = "array<struct<begin:int,finish:int,reveals:double>>"
-    return found.select("doc_id", "spans").join(terms, "doc_id", "left").select("doc_id", "spans", F.coalesce("terms", F.array().cast(kind)).alias("terms"))
+    told = disclosed(found, disclosure(docs, found, threshold, min_lines, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in slices(batches, "text"):
+            spans, terms = [], []
+            for t, given in zip(raw, part["told"].to_pylist(), strict=True):
+                s = t.decode("utf-8", "replace")
+                base = base_spans(s)
+                spans.append([{"kind": k, "begin": a, "finish": b} for k, a, b in base])
+                terms.append([{"begin": a, "finish": b, "reveals": r} for a, b, r in places(s, base, given)])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(spans, KIND_SPANS), pa.array(terms, KIND_TERMS)], ["doc_id", "spans", "terms"])
+
+    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    kind = "doc_id long, spans array<struct<kind:string,begin:int,finish:int>>, terms array<struct<begin:int,finish:int,reveals:double>>"
+    return with_told(src, "text", told).mapInArrow(run, kind)
 
 
 def digests(detected: DataFrame) -> DataFrame:
@@ -252,19 +284,18 @@ def digests(detected: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, threshold: float = 0.8, min_lines: int = 3, remove: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text masked; its other columns and its rows stay, a null text stays null."""
     found = stored(find(docs, doc_id, text), "found")
-    disclosing = disclosure(docs, found, threshold, min_lines, text)
-    terms = stored(term_spans(found, disclosing), "spans")
+    told = disclosed(found, disclosure(docs, found, threshold, min_lines, text))
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text)
-    src = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index(doc_id)]).cast("long"))
-    src = src.join(terms.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    src = with_told(docs.toDF(*names), names[at], told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in slices(batches, names[at]):
             out = []
-            for t, given, terms in zip(raw, part[names[at]].to_pylist(), part["terms"].to_pylist(), strict=True):
+            for t, given, terms in zip(raw, part[names[at]].to_pylist(), part["told"].to_pylist(), strict=True):
                 s = t.decode("utf-8", "replace")
-                out.append(None if given is None else mask(s, base_spans(s), [(x["begin"], x["finish"], x["reveals"]) for x in terms or []], remove))
+                base = base_spans(s)
+                out.append(None if given is None else mask(s, base, places(s, base, terms), remove))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == names[at] else part[n] for n in names], names)
 
     masked = src.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True)))

@@ -102,3 +102,17 @@ def test_mask_removes_and_generalises():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digests(pii.detect(empty)).count() == 0 and pii.sanitise(empty).count() == 0
+
+
+def test_values_in_two_documents_and_names_on_other_lines(spark):
+    told = ["Regards,\nOrla\nBrisk\norla@corp.example\nphone later", "first words\nOrla\nBrisk\norla@corp.example\nand far below\n" + "some filler words of text " * 20 + "\nBrisk again"]
+    rows = [*enumerate(told), (0, "Brisk weather is not about the value"), *((k, f"some filler words of text and first regards later phone below {k % 7} only{k}") for k in range(10, 2010))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in pii.sanitise(df, remove=2.0).collect():
+        got.setdefault(r["doc_id"], set()).add(r["text"])
+    assert got[0] == {"Regards,\n[NAME]\n[NAME]\n[EMAIL]\nphone later", "Brisk weather is not about the value"}
+    assert got[1] == {told[1].replace("orla@corp.example", "[EMAIL]").replace("Orla", "[NAME]").replace("Brisk", "[NAME]")}
+    assert all(got[k] == {t} for k, t in rows[3:])
+    spans = {(r["doc_id"], len(r["terms"])) for r in pii.detect(df).collect() if r["terms"]}
+    assert spans == {(0, 2), (1, 3)}
