@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, html, jaccard, katz, language, pii, quality, urls, vectors
+from rankloom.llm import bpe, decontaminate, html, jaccard, katz, language, periodic, pii, quality, ranked, urls, vectors
 from rankloom.llm.common import table
 
 
@@ -62,13 +62,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic.collapse_runs(periodic.planted(table(spark, sf_dir, "documents")))
+    return runs.select("doc_id", *periodic.digests(runs))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op6_katz_backoff, op7_quality, op8_url_filter,
-        op9_bpe, op10_html_extraction,
+        op9_bpe, op10_html_extraction, op11_periodic_runs, op12_ranked_search,
     )
     return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_ranked_search": ranked.SQL}
