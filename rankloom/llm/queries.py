@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, html, jaccard, katz, language, periodic, pii, quality, ranked, urls, vectors
+from rankloom.llm import bpe, decontaminate, html, jaccard, katz, language, periodic, pii, quality, ranked, repeats, urls, vectors
 from rankloom.llm.common import table
 
 
@@ -71,10 +71,19 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
+    return out.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_decontamination, op2_embedding_near_dedup, op3_jaccard_join, op4_pii, op5_language_id, op6_katz_backoff, op7_quality, op8_url_filter,
-        op9_bpe, op10_html_extraction, op11_periodic_runs, op12_ranked_search,
+        op9_bpe, op10_html_extraction, op11_periodic_runs, op12_ranked_search, op13_suffix_dedup,
     )
     return {f.__name__: f for f in all_of_them}
 
