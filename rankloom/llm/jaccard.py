@@ -7,8 +7,8 @@ needs an overlap of T(x, y) = ceil(3 (|x| + |y|) / 7). All links between differe
 2. Pivots: of classes that agree in a least hash the least is their pivot, and each class is compared with the pivot
    it agrees with most often. This joins most members of a group of near copies with a number of comparisons that
    grows with its members, not with their square.
-3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order;
-   here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done. In
+3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order,
+   and at the first they share both have T shingles left; here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done. In
    the others first one member of each component is compared with those of the other components, in rounds while
    that joins any; at last each pair of classes that still lie in different components is, so no link is missed.
    Pairs whose shingles' parities by bucket show too large a difference fall out before their texts move.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import components, forget, mix, parts_for, signed, slices, stored, words_of
+from rankloom.llm.common import bounded_batches, components, forget, mix, parts_for, signed, slices, stored, words_of
 
 WORDS = 5
 PIVOT_SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
@@ -51,6 +51,8 @@ POST_BYTES = 8 << 20
 #: Postings that one task indexes.
 POSTINGS_PER_TASK = 1_500_000
 
+LIST_COLUMNS = ["key", "cls", "n", "reach", "s0", "s1", "s2", "s3"]
+
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -99,6 +101,14 @@ def parity(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per set, for 256 buckets, whether each holds an odd number: four 64-bit numbers."""
+    many = len(offsets) - 1
+    doc = np.repeat(np.arange(many), np.diff(offsets))
+    odd = np.bincount(doc * 256 + (h & np.uint64(255)).astype(np.int64), minlength=many * 256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(many, 4)
+
+
 def may_link(a: bytes, b: bytes, n: int) -> bool:
     """Whether two sets of together ``n`` shingles can differ by n / 7 at most, which links do: each bucket of
     different parity holds a shingle that only one of them has. The larger of two tables is folded."""
@@ -163,14 +173,14 @@ def _sum_sketch(rows: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(got.get(k, empty) for k in range(SKETCH_BLOCKS)), dtype=np.int64)
 
 
-def prefixes(h: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(0.75 n) + 1 shingles of each text, seldom ones first, and the text of each."""
+def prefixes(h: np.ndarray, offsets: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first n - ceil(0.75 n) + 1 shingles of each text, seldom ones first; the text of each, and its place in the order."""
     n = np.diff(offsets)
     rank = (level[_sketch_bin(h)].astype(np.uint64) << np.uint64(58)) | (mix(h) >> np.uint64(6))
     size = np.where(n > 0, n - (3 * n + 3) // 4 + 1, 0)
-    picked = [a + (np.argpartition(rank[a:b], k - 1)[:k] if k < b - a else np.arange(b - a)) for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist(), strict=True) if k]
+    picked = [a + np.argsort(rank[a:b])[:k] for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist(), strict=True) if k]
     at = np.concatenate(picked) if picked else np.empty(0, np.int64)
-    return h[at], np.repeat(np.arange(len(n)), size)
+    return h[at], np.repeat(np.arange(len(n)), size), np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -301,7 +311,10 @@ def links_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFrame:
-    """(key, cls, n): prefix shingles that stand in more than one class, with those classes.
+    """(key, cls, n, reach, s0..s3): prefix shingles that stand in more than one class, with those classes.
+
+    ``reach`` is how many of the class's shingles stand at this one or behind it, in the common order: at the first
+    shingle two sets share, neither can share more. ``s0``... are the class's ``signatures``.
 
     A task indexes the lists of its keys in memory; keys that the sketch counts very often never come together in one
     task, they are listed as they are.
@@ -311,16 +324,17 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
     hot = sketch > HOT_FACTOR * max(64.0, float(sketch.mean()))
     parts = parts_for(spark, postings, POSTINGS_PER_TASK)
 
-    def packed(key: np.ndarray, doc: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
-        """Keys by class: classes and sizes once, then how many keys each has, then the keys."""
+    def packed(key: np.ndarray, doc: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray, sign: np.ndarray) -> bytes:
+        """Keys by class: classes, sizes and signatures once, then how many keys each has, then the keys and their places."""
         who, count = np.unique(doc, return_counts=True)
-        return b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(who)]), cls[who], n[who], count, signed(key)))
+        numbers = b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(who)]), count, cls[who], n[who], sign[who], signed(key)))
+        return numbers + place.astype(np.int32).tobytes()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            key, doc, cls, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            key, doc, place, cls, n, sign = (np.concatenate([h[k] for h in held]) for k in range(6))
             held.clear()
             to = (mix(key) % np.uint64(parts)).astype(np.int64)
             is_hot = hot[_sketch_bin(key)]
@@ -331,13 +345,13 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
             full = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays(
                 [pa.array([k % parts for k, _ in full], pa.int32()), pa.array([k >= parts for k, _ in full], pa.bool_()),
-                 pa.array([packed(key[x], doc[x], cls, n) for _, x in full], pa.binary())], ["part", "hot", "packed"])
+                 pa.array([packed(key[x], doc[x], place[x], cls, n, sign) for _, x in full], pa.binary())], ["part", "hot", "packed"])
 
         size = docs_held = 0
         for _, raw in slices(batches, "text"):
             h, offsets = shingle_sets(raw)
-            key, doc = prefixes(h, offsets, level)
-            held.append((key, doc + docs_held, classes(h, offsets), np.diff(offsets)))
+            key, doc, place = prefixes(h, offsets, level)
+            held.append((key, doc + docs_held, place, classes(h, offsets), np.diff(offsets), signatures(h, offsets)))
             docs_held += len(raw)
             size += sum(map(len, raw))
             if size > POST_BYTES:
@@ -347,47 +361,59 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
             yield flush()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, whose, sizes = [], [], []
+        held: list[list[np.ndarray]] = []
 
-        def rows(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at: at + 100_000]) for x in (key, cls, n)], ["key", "cls", "n"])
+        def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at: at + 100_000]) for x in columns], LIST_COLUMNS)
 
         for b in batches:
             for is_hot, x in zip(b["hot"].to_pylist(), b["packed"].to_pylist(), strict=True):
-                x = np.frombuffer(x, dtype=np.int64)
-                m = int(x[0])
-                count = x[1 + 2 * m: 1 + 3 * m]
-                key, cls, n = x[1 + 3 * m:], np.repeat(x[1: 1 + m], count), np.repeat(x[1 + m: 1 + 2 * m], count)
+                m = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
+                count = np.frombuffer(x, dtype=np.int64, count=m, offset=8)
+                total = int(count.sum())
+                of_class = np.frombuffer(x, dtype=np.int64, count=6 * m, offset=8 * (1 + m))
+                key = np.frombuffer(x, dtype=np.int64, count=total, offset=8 * (1 + 7 * m))
+                place = np.frombuffer(x, dtype=np.int32, offset=8 * (1 + 7 * m + total))
+                cls, n = (np.repeat(v, count) for v in (of_class[:m], of_class[m: 2 * m]))
+                sign = np.repeat(of_class[2 * m:].reshape(m, 4), count, axis=0)
+                columns = [key, cls, n, n - place, *sign.T]
                 if is_hot:
-                    yield from rows(key, cls, n)
+                    yield from rows(columns)
                 else:
-                    keys.append(key)
-                    whose.append(cls)
-                    sizes.append(n)
-        if keys:
-            key, cls, n = (np.concatenate(x) for x in (keys, whose, sizes))
-            order = np.lexsort((cls, key))
-            key, cls, n = key[order], cls[order], n[order]
+                    held.append(columns)
+        if held:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            key, cls = columns[0][order], columns[1][order]
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             new = new_key | np.concatenate(([True], cls[1:] != cls[:-1]))
             many = (np.bincount((np.cumsum(new_key) - 1)[new]) > 1)[np.cumsum(new_key) - 1] & new
-            yield from rows(key[many], cls[many], n[many])
+            yield from rows([x[order[many]] for x in columns])
 
     posted = docs.select("text").mapInArrow(post, "part int, hot boolean, packed binary").repartition(parts, "part")
-    return stored(posted.select("hot", "packed").mapInArrow(index, "key long, cls long, n long"), "lists")
+    return stored(posted.select("hot", "packed").mapInArrow(index, ", ".join(f"{c} long" for c in LIST_COLUMNS)), "lists")
 
 
 def _mixed(lists: DataFrame, root: DataFrame) -> DataFrame:
     """(key, cls, n, root) of the keys whose lists hold more than one component."""
-    named = stored(lists.join(root.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")), "named")
+    named = stored(lists.join(root.withColumnRenamed("id", "cls"), "cls", "left").select(*LIST_COLUMNS, F.coalesce("root", "cls").alias("root")), "named")
     mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    return stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
+    out = stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
+    forget(named, mixed)
+    return out
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """The pairs (q, c) of one list, of different components and of sizes that can link."""
-    fits = F.expr("l.key = r.key and l.root < r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)")
+    """The pairs (q, c) of one list, of different components, whose sizes, places and signatures can link.
+
+    Two sets that link do so at the first shingle they share too, where what stands behind it in either has to hold
+    the overlap; so a passage that many texts hold as their most frequent part pairs none of them.
+    Every bucket of different parity holds a shingle of only one set, and links differ by a seventh at most.
+    """
+    fits = F.expr("l.key = r.key and l.root < r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)"
+                  " and 7 * least(l.reach, r.reach) >= 3 * (l.n + r.n)"
+                  " and 7 * (" + " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(4)) + ") <= l.n + r.n")
     return lists.alias("l").join(lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
 
 
@@ -404,6 +430,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: b
     and has a null component. Equal sets link (repeated rows too). ``members`` adds ``root``, which names the row's own
     component (null where it can link with nothing), and ``key``, the ``text_key`` of its text.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("key", text_key("text"))
     rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, parity binary, block int, counts binary, key long"), "summaries")
     known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "parity", "key")
@@ -423,8 +450,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: b
     root, found = first, [links]
     for turn in range(REPRESENTATIVE_ROUNDS):
         mixed = _mixed(lists, root)
-        one = mixed.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("m"))
-        more = links_of(stored(sieved(_across(one.select("key", "root", "m.cls", "m.n")), reps), "pairs"), reps, src)
+        one = mixed.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *LIST_COLUMNS[1:])).alias("m"))
+        pairs = stored(sieved(_across(one.select("key", "root", *[f"m.{c}" for c in LIST_COLUMNS[1:]])), reps), "pairs")
+        more = links_of(pairs, reps, src)
+        forget(mixed, pairs)
         if more.isEmpty():
             break
         found.append(more)
