@@ -46,29 +46,36 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, max_rounds: int) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, hops: int = 4) -> DataFrame:
     """(host, rank): personalised PageRank over the weighted links (a, b, w) from ``seeds`` (host, weight).
 
-    What reaches a host without links ends there. Rounds stop when no rank moved by more than ``tolerance``.
+    What reaches a host without links ends there. The rank is the sum of the waves that go out from the seeds, one
+    link further each; a round sends ``hops`` of them. It ends when all later waves together cannot hold more than
+    ``tolerance`` and the last round reached no new host, so the end of a long chain has its (small) share too.
     """
     out_weight = edges.groupBy("a").agg(F.sum("w").alias("total"))
     share = stored(edges.join(out_weight, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "shares")
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank"))
-    base = stored(seeds.select("host", (F.col("weight") / F.lit(float(total))).alias("base")), "seeds")
-    rank = stored(base.select("host", (F.col("base") * (1 - damping)).alias("rank")), "ranks")
-    for _ in range(max_rounds):
-        moved = share.join(rank.withColumnRenamed("host", "a"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        fresh = base.join(moved, "host", "full").select(
-            "host", (F.coalesce("base", F.lit(0.0)) * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("rank"))
-        fresh = stored(fresh, "ranks")
-        step = fresh.join(rank.withColumnRenamed("rank", "old"), "host", "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        forget(rank)
-        rank = fresh
-        if not step or step <= tolerance:
-            break
-    return rank
+    rank = stored(seeds.select("host", (F.col("weight") / F.lit(float(total)) * (1 - damping)).alias("rank")), "ranks")
+    wave, reached, old = rank, rank.count(), None
+    while True:
+        waves = None
+        for hop in range(1, hops + 1):
+            met = share.join(wave.withColumnRenamed("host", "a"), "a").groupBy(F.col("b").alias("host"))
+            wave = met.agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+            one = wave.withColumn("hop", F.lit(hop))
+            waves = one if waves is None else waves.union(one)
+        waves = stored(waves, "waves")
+        fresh = stored(rank.union(waves.select("host", "rank")).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
+        wave = waves.where(F.col("hop") == hops).select("host", "rank")
+        left, now = wave.agg(F.sum("rank")).first()[0], fresh.count()
+        forget(rank, *([old] if old is not None else []))
+        rank, old = fresh, waves
+        if not left or (left * damping / (1 - damping) <= tolerance and now == reached):
+            return rank
+        reached = now
 
 
 def host_links(pages: DataFrame) -> DataFrame:
@@ -78,7 +85,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.where("b <> '' and host <> '' and b <> host").groupBy(F.col("host").alias("a"), "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-9, max_rounds: int = 50,
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-9,
           page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, host_distrust): one row per input row.
 
@@ -93,9 +100,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float
     links = stored(host_links(src), "links")
     seeds = stored(flat.where("ruled is not null").groupBy("host").agg(
         F.count(F.when(F.col("ruled") == "allow", 1)).cast("double").alias("allow"), F.count(F.when(F.col("ruled") == "block", 1)).cast("double").alias("block")), "seeds")
-    trust = spread(links, seeds.where("allow > 0").select("host", F.col("allow").alias("weight")), damping, tolerance, max_rounds)
+    trust = spread(links, seeds.where("allow > 0").select("host", F.col("allow").alias("weight")), damping, tolerance)
     back = links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
-    distrust = spread(back, seeds.where("block > 0").select("host", F.col("block").alias("weight")), damping, tolerance, max_rounds)
+    distrust = spread(back, seeds.where("block > 0").select("host", F.col("block").alias("weight")), damping, tolerance)
     hosts = stored(trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").select(
         "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "hosts")
     bad = F.when(F.col("trust") + F.col("distrust") > 0, F.col("distrust") / (F.col("trust") + F.col("distrust"))).otherwise(0.0)

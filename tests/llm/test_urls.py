@@ -95,3 +95,19 @@ def test_trust_and_distrust_spread(spark):
 
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_distrust_goes_down_a_chain_of_any_length(spark):
+    """A host that leads to a blocked one over 120 others is distrusted too."""
+    n = 120
+    rows = [(k, f"http://h{k}.test/", f'<a href="http://h{k + 1}.test/">x</a>') for k in range(n)] + [(n, f"http://h{n}.test/", "")]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=[("block", f"h{n}.test", "/")])
+    assert {r["verdict"] for r in out.collect()} == {"block"}
+
+
+def test_ranks_are_the_solution_on_a_cycle(spark):
+    n, d = 60, 0.85
+    edges = spark.createDataFrame([(f"h{k}", f"h{(k + 1) % n}", 1.0) for k in range(n)], "a string, b string, w double")
+    got = {r["host"]: r["rank"] for r in urls.spread(edges, spark.createDataFrame([("h0", 1.0)], "host string, weight double"), d, 1e-9).collect()}
+    for k in range(n):
+        assert abs(got[f"h{k}"] - (1 - d) * d**k / (1 - d**n)) < 1e-9
