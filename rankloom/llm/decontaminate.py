@@ -214,9 +214,8 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "
     for k in range(blocks):
         block = test if blocks == 1 else test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = make_items(sorted(((r["item_id"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r)))
-        if blocks > 1 and sum(map(len, items.words)) == 0:
-            continue
-        yield items, blocks
+        if sum(map(len, items.words)) or k == blocks - 1:  # the last one always, so that there is a result
+            yield items, blocks
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text",

@@ -113,3 +113,11 @@ def test_single_edited_copies_and_an_excerpt(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got if x["doc_id"] < 80} == {(k, k) for k in expect}
     assert [x["score"] for x in got if x["doc_id"] == 80] == [1.0]
     assert {x["doc_id"] for x in got if x["doc_id"] >= 100} == {*range(100, 120), 200}
+
+
+def test_a_large_benchmark_without_words(spark):
+    """Blocks of items without a word still give a result."""
+    items = spark.createDataFrame([(k, "... --- !!! " * 350) for k in range(1200)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some words stand here")], "doc_id long, text string")
+    assert d.contaminated(docs, items).count() == 0
+    assert d.clean_documents(docs, items).count() == 1
