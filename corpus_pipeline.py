@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, decontaminate, jaccard, language, pii
-from rankloom.llm.common import stored, table
+from rankloom.llm.common import bounded_batches, stored, table
 
 #: SQL has no compression, alignment or tokenizer; tests compare the stages with plain Python.
 ORACLE_SQL = None
@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not determined or too close between two."""
+    bounded_batches(spark)
     learn = docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 4) != 2, F.lit(True)))
     judged = language.identify(docs, language.train(learn), keep=tuple(docs.columns))
     columns = [f"_k{k}" for k in range(len(docs.columns))]
@@ -46,16 +47,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
+    bounded_batches(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; ``n_chars`` follows them."""
+    bounded_batches(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digests."""
+    bounded_batches(spark)
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
