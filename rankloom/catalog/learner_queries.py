@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankloom.catalog.blend_queries import SCORES, model_scores
@@ -12,25 +14,30 @@ from rankloom.catalog.stat_queries import AUX, HATE, STAY
 from rankloom.functions.scalars import item_stat_columns
 from rankloom.operators import checks as C
 from rankloom.operators import gradients as G
-from rankloom.operators import learners as L
+from rankloom.operators import fm as FM
 from rankloom.operators import metrics as M
 from rankloom.operators import splits as P
 from rankloom.operators import stats as S
-from rankloom.plans.features import FEEDBACK, GROUPS, build_features
+from rankloom.operators import trees as T
+from rankloom.plans.features import FEEDBACK, GROUPS, LOG_GROUPS, build_features
+from rankloom.plans.variants import compare_variants, variant_table
 from rankloom.session import checkpoint_dir
 from rankloom.sources.views import impressions, table
 
-CATS = ["tab"]
-NUMS = ["duration_ms", "hour", "dow", "v_lv_rate", "u_lv_rate"]
+# Groups of the smaller learner queries, and which of their columns are categories.
+SLIM_GROUPS = ("base", "item", "user", "ids", "uv")
+CATEGORIES = {"tab", "tag1", "dur_bucket", "video_type", "upload_type", "visible_status", "music_type", "user_active_degree",
+              "user_id_c", "video_id_c", "author_id_c", *[f"onehot_feat{i}" for i in range(18)]}
 
 
-def learner_rows(spark, sf_dir):
-    """Train rows with past-only statistics, and the scored splits."""
-    rows, train = impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"])
-    rows = S.attach_rates(rows, train, ["video_id"], {"v_lv_rate": "long_view"}, {}, "past", "v_imp")
-    rows = S.attach_rates(rows, train, ["user_id"], {"u_lv_rate": "long_view"}, {}, "past", "u_imp")
-    rows = L.as_text(rows, CATS).select("row_id", "split", "user_id", "date", "long_view", *CATS, *NUMS)
-    return rows.where("split = 'train'"), rows.where("split <> 'train'")
+def learner_rows(spark, sf_dir, groups=SLIM_GROUPS, **sides):
+    """(train rows with past-only statistics, scored rows, categories, numbers), written once."""
+    rows = (with_feedback(impressions(spark, sf_dir, splits)) for splits in (None, ["train"]))
+    checkpoint_dir(spark)
+    table = T.written(build_features(*rows, groups, **sides), "features", ["split"])
+    columns = [c for g in GROUPS if g in groups for c in GROUPS[g]]
+    cats = [c for c in columns if c in CATEGORIES]
+    return table.where("split = 'train'"), table.where("split <> 'train'"), cats, [c for c in columns if c not in cats]
 
 
 def scored_protocol(scored):
@@ -65,6 +72,13 @@ FROM imp LEFT JOIN (SELECT item, {STAT_SQL} FROM (SELECT l_partkey AS item, {",
     ON c_custkey = user_id""", (IMP,))
 def feature_table_sides(spark, sf_dir):
     """Base columns with all columns of the item, item-statistic and user side tables joined."""
+    f = build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), ("base", "vside", "vstat", "uside"),
+                       **side_tables(spark, sf_dir))
+    return rounded(f.drop("split", "user_id", "video_id", "date", "long_view"), "log_dur", *STAT_NAMES)
+
+
+def side_tables(spark, sf_dir):
+    """Item, item-statistic and user side tables with the columns of their groups."""
     items = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_size").select(
         F.col("p_partkey").cast("int").alias("video_id"), F.col("p_type").alias("video_type"),
         *[F.expr(e).alias(c) for c, e in SIDE_ITEM.items()])
@@ -72,18 +86,42 @@ def feature_table_sides(spark, sf_dir):
     stats = item_statistics(spark, sf_dir).select(F.col("item").cast("int").alias("video_id"), *[cols[c].alias(c) for c in STAT_NAMES])
     users = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("user_active_degree"), *[F.expr(e).alias(c) for c, e in SIDE_USER.items()])
-    f = build_features(impressions(spark, sf_dir), impressions(spark, sf_dir, ["train"]), ("base", "vside", "vstat", "uside"),
-                       items=items, item_stats=stats, users=users)
-    return rounded(f.drop("split", "user_id", "video_id", "date", "long_view"), "log_dur", *STAT_NAMES)
+    return {"items": items, "item_stats": stats, "users": users}
+
+
+def variant_sides(spark, sf_dir):
+    """Item and user side tables of the click learner's variants."""
+    items = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand", "p_size").select(
+        F.col("p_partkey").cast("int").alias("video_id"), F.col("p_type").alias("video_type"), F.col("p_brand").alias("music_type"),
+        F.col("p_size").alias("server_width"), (F.col("p_partkey") % 40).alias("server_height"))
+    users = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("user_active_degree"), F.col("c_nationkey").cast("string").alias("onehot_feat0"),
+        F.col("c_acctbal").alias("register_days"))
+    return items, users
+
+
+FIELDS = ["user_id", "video_id", "author_id", "tab"]
+LISTS = {"user": "user_id", "label": "long_view", "ties": ["row_id"]}
+
+
+def machine_rows(spark, sf_dir):
+    rows = impressions(spark, sf_dir).select("row_id", "split", "long_view", *FIELDS)
+    return rows.where("split = 'train'"), rows.where("split <> 'train'")
 
 
 @query("fm_scores")
 def fm_scores(spark, sf_dir):
-    """Factorisation machine over user, item, author and tab; protocol per split."""
-    cats = ["user_id", "video_id", "author_id", "tab"]
-    rows = L.as_text(impressions(spark, sf_dir), cats).select("row_id", "split", "user_id", "long_view", *cats[1:])
-    model = L.fm_pipeline(cats, "long_view", factors=4, iterations=5, slots=1 << 14).fit(rows.where("split = 'train'"))
-    return scored_protocol(L.predict(model, rows.where("split <> 'train'")))
+    """Factorisation machine over user, item, author and tab, stopped by the metric on valid; protocol per split."""
+    train, others = machine_rows(spark, sf_dir)
+    model = FM.fit(train, FIELDS, "long_view", valid=others.where("split = 'valid'"), user="user_id")
+    return scored_protocol(model.predict(others))
+
+
+@query("fm_oof_scores")
+def fm_oof_scores(spark, sf_dir):
+    """Out-of-fold factorisation machine, five folds fitted side by side with the full model."""
+    train, others = machine_rows(spark, sf_dir)
+    return FM.out_of_fold(train, others, FIELDS, "long_view").select("row_id", "split", "score")
 
 
 FOLD = "CAST(CAST(('0x' || substr(md5('0:' || row_id), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
@@ -97,9 +135,9 @@ def oof_folds(spark, sf_dir):
 
 @query("oof_scores")
 def oof_scores(spark, sf_dir):
-    """Out-of-fold boosted-tree scores for train, full-model scores for the rest."""
-    train, others = learner_rows(spark, sf_dir)
-    scored = L.out_of_fold(train, others, lambda seed: L.gbt_pipeline([], NUMS, "long_view", iterations=2, depth=3, seed=seed), folds=3)
+    """Out-of-fold boosted-tree scores for train in five folds, full-model scores for the rest."""
+    train, others, cats, nums = learner_rows(spark, sf_dir)
+    scored = T.out_of_fold(train, others, lambda rows, k: T.boost(rows, cats, nums, "long_view", params=T.Boosting(seed=100 * k)))
     return scored.select("row_id", "split", "score")
 
 
@@ -124,56 +162,64 @@ def oof_popularity(spark, sf_dir):
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    """Boosted trees on feature groups with mixed-list weights; protocol per split."""
-    train, others = learner_rows(spark, sf_dir)
+    """Boosted trees on the whole feature table with mixed-list weights, stopped by the metric on valid; protocol per split."""
+    train, others, cats, nums = learner_rows(spark, sf_dir, (*LOG_GROUPS, "vside", "vstat", "uside", "ids"), **side_tables(spark, sf_dir))
     train = S.mixed_weight(train, ["user_id", "date"], "long_view", 0.3)
-    model = L.gbt_pipeline(CATS, NUMS, "long_view", weight="weight", iterations=5, depth=3).fit(train)
-    return scored_protocol(L.predict(model, others))
+    model, _ = T.boost_best(train, others.where("split = 'valid'"), cats, nums, **LISTS, weight="weight")
+    return scored_protocol(model.predict(others))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     """Gain table of a fitted boosted-tree model."""
-    train, _ = learner_rows(spark, sf_dir)
-    model = L.gbt_pipeline(CATS, NUMS, "long_view", iterations=3, depth=3).fit(train)
-    return L.importances(spark, model, [*CATS, *NUMS])
+    train, _, cats, nums = learner_rows(spark, sf_dir)
+    return T.boost(train, cats, nums, "long_view").importances(spark)
 
 
 @query("early_stop")
 def early_stop(spark, sf_dir):
-    """Validation protocol at several iteration counts and the count early stopping keeps."""
-    train, others = learner_rows(spark, sf_dir)
-    m = L.iteration_metrics(lambda n: L.gbt_pipeline([], NUMS, "long_view", iterations=n, depth=3), [1, 2, 4], train.cache(),
-                            others.where("split = 'valid'"), "user_id", "long_view", ["row_id"])
-    return L.early_stop(m, patience=2)
+    """The metric on valid of every number of first trees, from one fit, and the number early stopping keeps."""
+    train, others, cats, nums = learner_rows(spark, sf_dir)
+    model, seen = T.boost_best(train, others.where("split = 'valid'"), cats, nums, **LISTS)
+    rows = [(n, v, n == model.model.getNumTrees) for n, v in seen]
+    return rounded(spark.createDataFrame(rows, "trees int, primary_score double, kept boolean"), "primary_score")
 
 
 @query("saved_model_scores")
 def saved_model_scores(spark, sf_dir):
-    """A model written to shared storage, read back, and applied to test."""
-    train, others = learner_rows(spark, sf_dir)
-    model = L.gbt_pipeline(CATS, NUMS, "long_view", iterations=2, depth=3).fit(train)
-    scored = L.save_and_score(model, checkpoint_dir(spark) + "/saved_gbt", others.where("split = 'test'"))
-    return scored_protocol(scored)
+    """A model written to a folder of its own in shared storage, read back, and applied to test."""
+    train, others, cats, nums = learner_rows(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    T.boost(train, cats, nums, "long_view").save(path)
+    return scored_protocol(T.BoostedTrees.load(spark, path).predict(others.where("split = 'test'")))
+
+
+@query("feature_variants")
+def feature_variants(spark, sf_dir):
+    """Six feature sets of the click learner, fitted from one table: (variant, split, metric, value)."""
+    rows = impressions(spark, sf_dir).withColumn("tags", F.transform("tags", lambda t: t.cast("string")))
+    items, users = variant_sides(spark, sf_dir)
+    table, variants = variant_table(rows, rows.where("split = 'train'"), items, users)
+    return rounded(compare_variants(table, variants), "value")
 
 
 def ranker(name: str, objective, doc: str):
     @query(name)
     def run(spark, sf_dir):
-        train, others = learner_rows(spark, sf_dir)
-        scored = L.boost_ranker(train, others, [], NUMS, objective, rounds=2, depth=3)
-        return scored_protocol(scored)
+        train, others, cats, nums = learner_rows(spark, sf_dir)
+        model = T.boost(train, cats, nums, "long_view", objective, keep=["user_id"])
+        return scored_protocol(model.predict(others))
 
     run.__doc__ = doc
     return run
 
 
 lambdarank_scores = ranker(
-    "lambdarank_scores", lambda d: G.lambda_gradients(d, ["user_id"], "long_view", "score", ["row_id"], 10),
+    "lambdarank_scores", lambda d, _: G.lambda_gradients(d, ["user_id"], "long_view", "score", ["row_id"], 10),
     "Boosted trees on the truncated pairwise objective.")
 xendcg_scores = ranker(
-    "xendcg_scores", lambda d: G.xendcg_gradients(d, ["user_id"], "long_view", "score"),
-    "Boosted trees on the listwise objective.")
+    "xendcg_scores", lambda d, r: G.xendcg_gradients(d, ["user_id"], "long_view", "score", seed=r),
+    "Boosted trees on the listwise objective, with new draws every round.")
 
 
 LAMBDA = """placed AS (SELECT split, user_id, row_id, long_view AS y, score AS s, row_number() OVER (PARTITION BY split, user_id ORDER BY score DESC, row_id) AS at FROM pop),

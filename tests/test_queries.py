@@ -29,7 +29,7 @@ def test_every_oracle_has_a_query():
     # what SQL cannot state: iterative solves, fitted models, the greedy search, the whole feature table
     assert set(QUERIES) - set(SQL) == {
         "ease_score", "ease_variants", "fm_scores", "oof_scores", "gbt_scores", "feature_importance", "early_stop",
-        "saved_model_scores", "lambdarank_scores", "xendcg_scores", "greedy_blend", "feature_table",
+        "saved_model_scores", "lambdarank_scores", "xendcg_scores", "greedy_blend", "feature_table", "fm_oof_scores", "feature_variants",
     }
 
 
@@ -49,7 +49,7 @@ def single_partition_windows(plan):
 SMALL_WINDOWS = {"running_best", "convergence", "stale_counter", "quantile_bucket", "user_cross", "ease_residual", "ease_score", "ease_variants"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SMALL_WINDOWS - {"lambdarank_scores", "xendcg_scores", "gbt_scores", "oof_scores", "fm_scores", "early_stop", "feature_importance", "saved_model_scores", "greedy_blend"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SMALL_WINDOWS - {"lambdarank_scores", "xendcg_scores", "gbt_scores", "oof_scores", "fm_scores", "fm_oof_scores", "feature_variants", "early_stop", "feature_importance", "saved_model_scores", "greedy_blend"}))
 def test_no_unpartitioned_window(spark, name):
     assert not single_partition_windows(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
 
