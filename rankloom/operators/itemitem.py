@@ -25,11 +25,12 @@ def distinct_pairs(pool: DataFrame, label: str, user: str = "user_id", item: str
 
 
 def _combine_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Co-occurrence counts of the (user, slice) groups in one task.
+    """Co-occurrence counts of the (user, cell) groups in one task.
 
-    Groups arrive contiguous and sorted.  Each left item meets the group's
-    items from its own position on (half of the symmetric matrix); counts are
-    added up by item pair before anything is emitted.
+    Groups arrive contiguous and sorted.  In a cell of one block each item meets
+    the items from its own position on (half of the symmetric matrix); in a cell
+    of two blocks each item of one meets all of the other.  Counts are added up
+    by item pair before anything is emitted.
     """
     sums: dict[str, np.ndarray] = {}
 
@@ -54,12 +55,21 @@ def _combine_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return
         item = block["item"].to_numpy()
         left = block["is_left"].to_numpy()
-        g = block["user"].to_numpy(), block["slice"].to_numpy()
+        two = block["two_blocks"].to_numpy()
+        g = block["user"].to_numpy(), block["cell"].to_numpy()
         new = np.ones(len(item), dtype=bool)
         new[1:] = (g[0][1:] != g[0][:-1]) | (g[1][1:] != g[1][:-1])
         starts = np.flatnonzero(new)
         ends = np.repeat(np.append(starts[1:], len(item)), np.diff(np.append(starts, len(item))))
-        rows = np.flatnonzero(left)
+        for lo in starts[two[starts]]:
+            hi = ends[lo]
+            mine = left[lo:hi]
+            a, b = item[lo:hi][mine], item[lo:hi][~mine]
+            step = max(1, PAIR_BATCH // max(1, len(b)))
+            for at in range(0, len(a), step):
+                x, y = np.repeat(a[at:at + step], len(b)), np.tile(b, len(a[at:at + step]))
+                add(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), dtype=np.int64))
+        rows = np.flatnonzero(~two)
         width = ends[rows] - rows  # partners at or after the row; items are sorted in a group
         todo = np.cumsum(width)
         lo = 0
@@ -77,7 +87,7 @@ def _combine_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         # the last group may go on in the next batch
-        last = (pdf["user"] == pdf["user"].iloc[-1]) & (pdf["slice"] == pdf["slice"].iloc[-1])
+        last = (pdf["user"] == pdf["user"].iloc[-1]) & (pdf["cell"] == pdf["cell"].iloc[-1])
         count(pdf[~last].reset_index(drop=True))
         rest = pdf[last].reset_index(drop=True)
         if sums and len(sums["c"]) > PAIR_BATCH:
@@ -89,27 +99,30 @@ def _combine_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cooccurrence(
-    pairs: DataFrame, user: str = "user_id", item: str = "video_id", items_per_slice: int = 2_000
+    pairs: DataFrame, user: str = "user_id", item: str = "video_id", items_per_block: int = 2_000
 ) -> DataFrame:
     """``(item_i, item_j, co)``: users who hold both items; the diagonal is the item's count.
 
-    ``pairs`` must be distinct.  A user with more than ``items_per_slice`` items
-    is worked on in several slices, each pairing its share of the items with all
-    of them, so no task owns a heavy user's square.  Pair counts are combined
-    inside the task and once more by the shuffle; single pairs never move.
+    ``pairs`` must be distinct.  The items of a user with more than
+    ``items_per_block`` are dealt to blocks, and every pair of blocks is a cell of
+    its own: a group never holds more than two blocks, so no task owns a heavy
+    user's square.  An item goes to as many cells as there are blocks.  Pair
+    counts are combined inside the task and once more by the shuffle; single
+    pairs never move.
     """
-    sizes = pairs.groupBy(user).agg(F.ceil(F.count(F.lit(1)) / items_per_slice).cast("int").alias("_slices"))
-    cells = (
-        pairs.join(sizes, user)
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-        .select(
-            F.col(user).cast("long").alias("user"),
-            "slice",
-            F.col(item).cast("long").alias("item"),
-            (F.pmod(F.xxhash64(item), F.col("_slices")) == F.col("slice")).alias("is_left"),
-        )
+    sizes = pairs.groupBy(user).agg(F.ceil(F.count(F.lit(1)) / items_per_block).cast("int").alias("_blocks"))
+    placed = pairs.join(sizes, user).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
+    cells = placed.select(user, item, "_blocks", "_own", other).select(
+        F.col(user).cast("long").alias("user"),
+        (lo.cast("long") * F.col("_blocks") + hi).alias("cell"),
+        F.col(item).cast("long").alias("item"),
+        (F.col("_own") == lo).alias("is_left"),
+        (F.col("_own") != F.col("_other")).alias("two_blocks"),
     )
-    placed = cells.repartition("user", "slice").sortWithinPartitions("user", "slice", "item")
+    # a cell of two blocks gets the items of both
+    placed = cells.repartition("user", "cell").sortWithinPartitions("user", "cell", "item")
     half = (
         placed.mapInPandas(_combine_pairs, "item_i long, item_j long, co long")
         .groupBy("item_i", "item_j")

@@ -34,8 +34,26 @@ def time_fraction_split(
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """Exactly n rows, the same ones for the same seed (a distributed top-n)."""
-    return df.withColumn("_h", hash32(seed, row_id)).orderBy("_h", row_id).limit(n).drop("_h")
+    """Exactly n rows (all, if fewer), the same ones for the same seed: those of least hash, ties by row id.
+
+    A histogram of the hash's leading bits, summed map-side, names the bucket the
+    n-th row lies in.  Rows of lower buckets pass by a filter; only that one
+    bucket, about a 65536th of the rows, is put in order.
+    """
+    hashed = df.withColumn("_h", hash32(seed, row_id))
+    bucket = F.floor(F.col("_h") / 65536)
+    sizes = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()  # 65536 rows at most
+    below, edge = 0, None
+    for r in sorted(sizes, key=lambda r: r["b"]):
+        if below + r["c"] > n:
+            edge = r["b"]
+            break
+        below += r["c"]
+    if edge is None:
+        return df
+    whole = hashed.where(bucket < edge)
+    part = hashed.where(bucket == edge).orderBy("_h", row_id).limit(n - below)
+    return whole.unionByName(part).drop("_h")
 
 
 def fold_of(df: DataFrame, folds: int, seed: int, unit: str = "row_id", out: str = "fold") -> DataFrame:

@@ -28,12 +28,12 @@ def dense(df, n=20, value="w"):
 @pytest.mark.parametrize("per_slice", [3, 1000])
 def test_cooccurrence_is_the_gram_matrix(pairs, per_slice):
     df, m = pairs
-    assert (dense(I.cooccurrence(df, items_per_slice=per_slice), value="co") == m.T @ m).all()
+    assert (dense(I.cooccurrence(df, items_per_block=per_slice), value="co") == m.T @ m).all()
 
 
 def test_small_pair_batches(pairs, monkeypatch):
     df, m = pairs
-    plain = df.toPandas().rename(columns={"user_id": "user", "video_id": "item"}).assign(slice=0, is_left=True)
+    plain = df.toPandas().rename(columns={"user_id": "user", "video_id": "item"}).assign(cell=0, is_left=True, two_blocks=False)
     monkeypatch.setattr(I, "PAIR_BATCH", 7)
     parts = [plain.iloc[i:i + 11] for i in range(0, len(plain), 11)]
     got = pd.concat(list(I._combine_pairs(iter(parts)))).groupby(["item_i", "item_j"])["co"].sum()
