@@ -153,8 +153,10 @@ def greedy_blend(spark, sf_dir):
 PAIR = "pair AS (SELECT split, CASE model WHEN 'tab' THEN 'a' ELSE 'b' END AS system, user_id, row_id, long_view, score FROM scores WHERE model IN ('tab', 'item'))"
 BOOT = """users AS (SELECT split, user_id, row_number() OVER (PARTITION BY split ORDER BY user_id) AS no, count(*) OVER (PARTITION BY split) AS n
   FROM pieces WHERE system = 'a'),
-draws AS (SELECT split, rep, CAST(floor(CAST(('0x' || substr(md5(rep || ':' || (no - 1)), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) + 1 AS no
-  FROM users, (SELECT unnest(range(0, 2000)) AS rep)),
+blocks AS (SELECT split, rep, CAST(floor(floor(CAST(('0x' || substr(md5(rep || ':' || (no - 1)), 1, 8)) AS BIGINT) / 4294967296.0 * n) / 64) AS BIGINT) AS b,
+    count(*) AS c, any_value(n) AS n FROM users, (SELECT unnest(range(0, 2000)) AS rep) GROUP BY 1, 2, 3),
+draws AS (SELECT split, rep, b * 64 + 1 + CAST(floor(CAST(('0x' || substr(md5(rep || ':' || b || ':' || j), 1, 8)) AS BIGINT) / 4294967296.0
+    * least(64, n - b * 64)) AS BIGINT) AS no FROM (SELECT *, unnest(range(0, c)) AS j FROM blocks)),
 rep_metrics AS (SELECT split, rep, system, """ + PROTOCOL + """ AS gauc, avg(ndcg) AS ndcg
   FROM draws JOIN users USING (split, no) JOIN pieces USING (split, user_id) GROUP BY split, rep, system),
 deltas AS (SELECT split, rep, metric, sum(CASE system WHEN 'b' THEN v ELSE -v END) AS delta FROM (
@@ -171,7 +173,7 @@ def bootstrap_paired(spark, sf_dir):
         "system", F.when(F.col("model") == "tab", "a").otherwise("b")
     )
     pieces = M.user_pieces(s, ["split", "system", "user_id"], "long_view", "score", ["row_id"])
-    deltas = T.paired_deltas(T.paired_resamples(pieces, ["split"], "user_id", 2000), ["split"])
+    deltas = T.paired_deltas(T.paired_resamples(pieces, ["split"], "user_id", 2000, block=64), ["split"])
     return rounded(T.summarise(deltas, ["split"]), "mean", "lo95", "hi95", "p_le_0")
 
 

@@ -8,39 +8,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.hashing import uniform
-from rankloom.operators.metrics import protocol_columns
 from rankloom.operators.ordering import DEFAULT_SKEW, Prefix, Skew, exact_quantiles, ordered_prefix
 from rankloom.session import checkpoint_dir
 
 METRICS = ("gauc", "ndcg_at_5", "primary_score")
 
 
+# Users of one block; a task holds the pieces of a block as one array.
+USERS_PER_BLOCK = 1024
+
+
 def paired_resamples(
-    pieces: DataFrame, by: Sequence[str], user: str, reps: int, skew: Skew = DEFAULT_SKEW
+    pieces: DataFrame, by: Sequence[str], user: str, reps: int, block: int = USERS_PER_BLOCK, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """Protocol of systems 'a' and 'b' on ``reps`` resamples of the users.
 
-    ``pieces`` holds one row per (by, system, user).  Draw i of a resample hits
-    user ``floor(u * n)`` with u hashed from (rep, i): each user row makes its
-    own ``reps`` draws, draws are counted per hit user before they move, and
-    both systems read the same counts.  The pieces are checkpointed, since the
-    users are numbered from them and the draws read them again.
+    ``pieces`` holds one row per (by, system, user).  A resample of n users makes
+    n draws in two levels.  First every user row draws a block of users per
+    resample, by the share of each; only counts by (resample, block) move.  Then
+    a block's own task makes that many draws inside it and sums the pieces of
+    both systems it hits.  What moves besides is one row per (resample, block)
+    of sums, combined map-side: no draw leaves its task.  Draws are hashed from
+    (rep, i) and (rep, block, j).  The pieces are checkpointed, since the users
+    are numbered from them and the blocks are made of them.
     """
     checkpoint_dir(pieces.sparkSession)
+    by = list(by)
     pieces = pieces.checkpoint()
     users = pieces.where("system = 'a'").select(*by, user)
     ranked = ordered_prefix(users, by, user, (), Prefix(number="_no", total="_all"), skew)
-    draws = ranked.select(
-        *by, "_all", (F.col("_no") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    counts = (
+        ranked.select(*by, "_all", (F.col("_no") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+        .groupBy(*by, "rep", F.floor(F.floor(uniform("rep", "_i") * F.col("_all")) / block).alias("_b"))
+        .agg(F.count(F.lit(1)).cast("int").alias("_c"))
+    )
+    mixed = (F.col("npos") > 0) & (F.col("npos") < F.col("n"))
+    terms = [F.when(mixed, F.col("npos") * F.col("auc")).otherwise(0.0), F.when(mixed, F.col("npos")).otherwise(0), F.col("ndcg"), F.col("n")]
+    sides = [F.max(F.when(F.col("system") == s, t.cast("double"))) for s in ("a", "b") for t in terms]
+    cells = pieces.groupBy(*by, user).agg(F.array(*sides).alias("_cell"))
+    blocks = (
+        ranked.join(cells, [*by, user])
+        .groupBy(*by, F.floor((F.col("_no") - 1) / block).alias("_b"))
+        .agg(F.sort_array(F.collect_list(F.struct("_no", "_cell"))).alias("_users"))  # ``block`` entries at most
+    )
+    drawn = F.aggregate(
+        F.sequence(F.lit(0), F.col("_c") - 1), F.array_repeat(F.lit(0.0), len(sides)),
+        lambda sums, j: F.zip_with(
+            sums, F.col("_users")[F.floor(uniform(F.col("rep"), F.col("_b"), j) * F.size("_users")).cast("int")]["_cell"], lambda x, y: x + y
+        ),
     )
-    hits = (
-        draws.withColumn("_no", F.floor(uniform("rep", "_i") * F.col("_all")) + 1)
-        .groupBy(*by, "rep", "_no")
-        .agg(F.count(F.lit(1)).alias("_m"))
+    got = counts.join(blocks, [*by, "_b"]).select(*by, "rep", "_c", drawn.alias("_s"))
+    sums = got.groupBy(*by, "rep").agg(F.sum("_c").alias("users"), *[F.sum(F.col("_s")[i]).alias(f"_{i}") for i in range(len(sides))])
+    per_system = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("system"), *[F.col(f"_{4 * k + i}").alias(n) for i, n in enumerate(("ga", "gp", "nd", "rows"))])
+        for k, s in enumerate(("a", "b"))
+    ]))
+    flat = sums.select(*by, "rep", "users", per_system.alias("_x")).select(*by, "rep", "users", "_x.*")
+    gauc = F.when(F.col("gp") > 0, F.col("ga") / F.col("gp")).otherwise(0.5)
+    ndcg = F.col("nd") / F.col("users")
+    return flat.select(
+        *by, "rep", "system", gauc.alias("gauc"), ndcg.alias("ndcg_at_5"), ((gauc + ndcg) / 2).alias("primary_score"),
+        "users", F.col("rows").cast("long").alias("row_count"),
     )
-    hit_users = hits.join(ranked.select(*by, "_no", user), [*by, "_no"])
-    both = pieces.join(hit_users, [*by, user])
-    return both.groupBy(*by, "rep", "system").agg(*protocol_columns(F.col("_m")))
 
 
 def paired_deltas(resamples: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -113,3 +113,26 @@ def test_bootstrap_draws_every_rep_n_users_and_pairs_systems(spark):
     s = T.summarise(d, ["split"]).collect()
     assert {r["metric"] for r in s} == set(T.METRICS)
     assert all(r["lo95"] <= r["mean"] <= r["hi95"] and r["reps"] == 5 for r in s)
+
+
+def test_bootstrap_draws_are_those_of_plain_python(spark):
+    """Both levels of draws, with blocks smaller than the users."""
+    import hashlib
+
+    p = pieces(spark)
+    rows = {(r["system"], r["user_id"]): r for r in p.collect()}
+    users = sorted({u for _, u in rows})
+    n, block = len(users), 7
+    u = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    got = {(r["rep"], r["system"]): r for r in T.paired_resamples(p, ["split"], "user_id", 4, block=block).collect()}
+    for rep in range(4):
+        hit = [int(u(rep, i) * n) // block for i in range(n)]
+        drawn = [users[b * block + int(u(rep, b, j) * min(block, n - b * block))] for b in set(hit) for j in range(hit.count(b))]
+        assert len(drawn) == n
+        for s in ("a", "b"):
+            mine = [rows[s, x] for x in drawn]
+            mixed = [r for r in mine if 0 < r["npos"] < r["n"]]
+            gauc = sum(r["npos"] * r["auc"] for r in mixed) / sum(r["npos"] for r in mixed)
+            assert got[rep, s]["gauc"] == pytest.approx(gauc, abs=1e-12)
+            assert got[rep, s]["ndcg_at_5"] == pytest.approx(sum(r["ndcg"] for r in mine) / n, abs=1e-12)
+            assert got[rep, s]["row_count"] == sum(r["n"] for r in mine)
