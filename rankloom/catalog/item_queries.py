@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import IMP, query, r6, rounded
 from rankloom.functions.hashing import hash32
 from rankloom.functions.scalars import smooth
+from rankloom.operators import attention as A
 from rankloom.operators import ease as Z
 from rankloom.operators import itemitem as I
-from rankloom.operators import sessions as N
 from rankloom.operators import stats as S
 from rankloom.operators.ordering import Prefix, ordered_prefix
 from rankloom.sources.views import impressions, item_vectors
@@ -153,25 +152,6 @@ def ordered_target_stats(spark, sf_dir):
       GROUP BY r.row_id, r.video_id)) r
     LEFT JOIN embeddings c ON c.vec_id = r.video_id LEFT JOIN embeddings e ON e.vec_id = r.hist) GROUP BY row_id""", (IMP,))
 def attention_pool(spark, sf_dir):
-    """Softmax of candidate-history similarity over the last fifty positives, pooled.
-
-    A dot product is taken once per distinct item pair; only ids travel with
-    the impressions.
-    """
+    """Softmax of candidate-history similarity over the last fifty positives, pooled."""
     rows = impressions(spark, sf_dir).select("row_id", "user_id", "video_id", "time_us")
-    hist = N.last_n_history(rows, train_of(spark, sf_dir), 50)
-    e = rows.select("row_id", "video_id").join(hist, "row_id").withColumn("_item", F.explode_outer("history"))
-    vec = item_vectors(spark, sf_dir)
-    need = e.select("video_id", "_item").where("_item IS NOT NULL").distinct()
-    dots = (
-        need.join(vec.withColumnRenamed("vec", "_c"), "video_id")
-        .join(vec.select(F.col("video_id").alias("_item"), F.col("vec").alias("_h")), "_item")
-        .select("video_id", "_item", F.aggregate(F.zip_with("_c", "_h", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("d"))
-    )
-    scored = e.join(dots, ["video_id", "_item"], "left")
-    # a row has fifty items at most; without its largest product exp could overflow
-    w = F.exp(F.col("d") - F.col("_top"))
-    scored = scored.withColumn("_top", F.max("d").over(Window.partitionBy("row_id")))
-    return scored.groupBy("row_id").agg(
-        F.count("d").alias("hist_len"), r6(F.coalesce(F.sum(w * F.col("d")) / F.sum(w), F.lit(0.0))).alias("attention")
-    )
+    return rounded(A.attention_pool(rows, train_of(spark, sf_dir), item_vectors(spark, sf_dir)), "attention")
