@@ -110,7 +110,7 @@ def ease_residual(spark, sf_dir):
 def ease_score(spark, sf_dir):
     """Two-phase ridge score of every row: sum and mean over the history."""
     rows = impressions(spark, sf_dir).select(*SLIM)
-    out = I.two_phase_score(rows, train_of(spark, sf_dir), "long_view", lambda p: Z.ease_weights(p, 250.0))
+    out = I.two_phase_score(rows, train_of(spark, sf_dir), "long_view", lambda p: Z.ease_weights(p, 250.0, candidates=rows))
     return out.select("row_id", r6("cf_sum").alias("ease_sum"), r6("cf_mean").alias("ease_mean"))
 
 
@@ -121,14 +121,15 @@ EASE_VARIANTS = {"ease50_mean": ("long_view", 50.0), "ease1000_mean": ("long_vie
 
 @query("ease_variants")
 def ease_variants(spark, sf_dir):
-    """Ridge scores for other strengths and for clicks, in long form."""
+    """Ridge scores for other strengths and for clicks, in long form; strengths of one label share its Gram table."""
     rows = impressions(spark, sf_dir).select(*SLIM)
     train = train_of(spark, sf_dir)
     out = None
-    for name, (label, lam) in EASE_VARIANTS.items():
-        s = I.two_phase_score(rows, train, label, lambda p, lam=lam: Z.ease_weights(p, lam))
-        s = s.select("row_id", F.lit(name).alias("variant"), r6("cf_mean").alias("score"))
-        out = s if out is None else out.unionByName(s)
+    for label in ("long_view", "is_click"):
+        lams = {n: lam for n, (y, lam) in EASE_VARIANTS.items() if y == label}
+        for name, s in I.two_phase_scores(rows, train, label, lambda p, lams=lams: Z.ease_weight_sets(p, lams, candidates=rows)).items():
+            s = s.select("row_id", F.lit(name).alias("variant"), r6("cf_mean").alias("score"))
+            out = s if out is None else out.unionByName(s)
     return out
 
 

@@ -233,12 +233,13 @@ def middle_day(pool: DataFrame, day: str = "date"):
     return pool.agg(F.element_at(days, F.floor(F.size(days) / 2).cast("int") + 1).alias("cut")).scalar()
 
 
-def two_phase_score(rows: DataFrame, train: DataFrame, label: str, similarity, day: str = "date") -> DataFrame:
-    """History scores that never see a train row's own period.
+def two_phase_scores(rows: DataFrame, train: DataFrame, label: str, similarities, day: str = "date") -> dict[str, DataFrame]:
+    """History scores that never see a train row's own period, per similarity.
 
-    ``similarity`` maps distinct pairs to ``(item_i, item_j, w)``.  The matrix of
-    days before the middle day scores train rows from that day on, earlier train
-    rows get 0; the whole train matrix scores the other splits.
+    ``similarities`` maps distinct pairs to ``{name: (item_i, item_j, w)}``, once
+    per phase.  The matrix of days before the middle day scores train rows from
+    that day on, earlier train rows get 0; the whole train matrix scores the
+    other splits.
     """
     cut = middle_day(train, day)
     early = distinct_pairs(train.where(F.col(day) < cut), label)
@@ -248,8 +249,15 @@ def two_phase_score(rows: DataFrame, train: DataFrame, label: str, similarity, d
     first_train = rows.where(own & (F.col(day) < cut)).withColumns(
         {"cf_sum": F.lit(0.0), "u_hist_cnt": F.lit(0).cast("long"), "cf_mean": F.lit(0.0)}
     )
-    return (
-        history_score(late_train, early, similarity(early))
+    of_early, of_full = similarities(early), similarities(full)
+    return {
+        name: history_score(late_train, early, of_early[name])
         .unionByName(first_train)
-        .unionByName(history_score(rows.where(~own), full, similarity(full)))
-    )
+        .unionByName(history_score(rows.where(~own), full, of_full[name]))
+        for name in of_full
+    }
+
+
+def two_phase_score(rows: DataFrame, train: DataFrame, label: str, similarity, day: str = "date") -> DataFrame:
+    """``two_phase_scores`` for one similarity: distinct pairs -> ``(item_i, item_j, w)``."""
+    return two_phase_scores(rows, train, label, lambda p: {"w": similarity(p)}, day)["w"]

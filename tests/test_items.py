@@ -112,3 +112,31 @@ def test_two_phase_scores_early_rows_zero(spark):
     assert got[2] == pytest.approx(2.0)
     assert got[3] == 0.0
     assert got[4] > 1.0
+
+
+def test_solved_columns_are_those_of_the_inverse(spark, pairs):
+    """Conjugate gradients for some columns, more than one group of them, against numpy."""
+    df, m = pairs
+    g = (m.T @ m).astype(float)
+    want = np.linalg.inv(g + 5.0 * np.eye(len(g)))
+    some = [i for i in range(len(g)) if i % 3 != 1 and g[i, i] > 0]
+    columns = spark.createDataFrame([(i,) for i in some], "item long")
+    got = Z.solve_columns(I.cooccurrence(df), 5.0, columns, width=4).collect()
+    assert {r["item_j"] for r in got} == set(some)
+    p = np.zeros_like(want)
+    for r in got:
+        p[r["item_i"], r["item_j"]] = r["p"]
+    assert np.abs(p[:, some] - want[:, some])[g.diagonal() > 0].max() < 1e-8
+
+
+def test_both_ways_to_the_weights_agree(pairs):
+    df, _ = pairs
+    few = df.where("video_id % 2 = 0")
+    dense_way = {(r["item_i"], r["item_j"]): r["w"] for r in Z.ease_weights(df, 5.0).collect()}
+    sets = Z.ease_weight_sets(df, {"a": 5.0, "b": 50.0}, candidates=few, dense_items=0)
+    solved = {(r["item_i"], r["item_j"]): r["w"] for r in sets["a"].collect()}
+    assert solved and {i for i, _ in solved} == {i for i, _ in dense_way if i % 2 == 0}
+    for k, w in dense_way.items():
+        if k[0] % 2 == 0:
+            assert abs(solved.get(k, 0.0) - w) < 1e-6
+    assert sets["b"].count() > 0
