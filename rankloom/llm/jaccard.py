@@ -51,7 +51,7 @@ POST_BYTES = 8 << 20
 #: Postings that one task indexes.
 POSTINGS_PER_TASK = 1_500_000
 
-LIST_COLUMNS = ["key", "cls", "n", "reach", "s0", "s1", "s2", "s3"]
+LIST_COLUMNS = ["key", "cls", "n", "reach"]
 
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -142,7 +142,7 @@ def _sketch_bin(h: np.ndarray) -> np.ndarray:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; at the end of the task, rows with its part of the sketch."""
-    names = ["doc_id", "n", "cls", "least", "parity", "block", "counts", "key"]
+    names = ["doc_id", "n", "cls", "least", "sign", "parity", "block", "counts", "key"]
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for part, raw in slices(batches, "text"):
         h, offsets = shingle_sets(raw)
@@ -150,12 +150,14 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(offsets)
         least = np.stack([signed(_by_doc(np.minimum, mix(h ^ s), offsets)) for s in PIVOT_SEEDS], axis=1).reshape(-1)
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(PIVOT_SEEDS))
+        four = pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4)
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [part["doc_id"], pa.array(n.astype(np.int64)), pa.array(classes(h, offsets), mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(least)),
+             pa.ListArray.from_arrays(four, pa.array(signatures(h, offsets).reshape(-1))),
              pa.array([parity(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *nothing, part["key"]], names)
     blocks = [x.tobytes() for x in np.split(sketch, SKETCH_BLOCKS)]
-    none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+    none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
     yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary()), pa.nulls(SKETCH_BLOCKS, pa.int64())], names)
 
 
@@ -311,10 +313,10 @@ def links_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFrame:
-    """(key, cls, n, reach, s0..s3): prefix shingles that stand in more than one class, with those classes.
+    """(key, cls, n, reach): prefix shingles that stand in more than one class, with those classes.
 
     ``reach`` is how many of the class's shingles stand at this one or behind it, in the common order: at the first
-    shingle two sets share, neither can share more. ``s0``... are the class's ``signatures``.
+    shingle two sets share, neither can share more.
 
     A task indexes the lists of its keys in memory; keys that the sketch counts very often never come together in one
     task, they are listed as they are.
@@ -324,17 +326,17 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
     hot = sketch > HOT_FACTOR * max(64.0, float(sketch.mean()))
     parts = parts_for(spark, postings, POSTINGS_PER_TASK)
 
-    def packed(key: np.ndarray, doc: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray, sign: np.ndarray) -> bytes:
-        """Keys by class: classes, sizes and signatures once, then how many keys each has, then the keys and their places."""
+    def packed(key: np.ndarray, doc: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+        """Keys by class: classes and sizes once, then how many keys each has, then the keys and their places."""
         who, count = np.unique(doc, return_counts=True)
-        numbers = b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(who)]), count, cls[who], n[who], sign[who], signed(key)))
+        numbers = b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(who)]), count, cls[who], n[who], signed(key)))
         return numbers + place.astype(np.int32).tobytes()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            key, doc, place, cls, n, sign = (np.concatenate([h[k] for h in held]) for k in range(6))
+            key, doc, place, cls, n = (np.concatenate([h[k] for h in held]) for k in range(5))
             held.clear()
             to = (mix(key) % np.uint64(parts)).astype(np.int64)
             is_hot = hot[_sketch_bin(key)]
@@ -345,13 +347,13 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
             full = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays(
                 [pa.array([k % parts for k, _ in full], pa.int32()), pa.array([k >= parts for k, _ in full], pa.bool_()),
-                 pa.array([packed(key[x], doc[x], place[x], cls, n, sign) for _, x in full], pa.binary())], ["part", "hot", "packed"])
+                 pa.array([packed(key[x], doc[x], place[x], cls, n) for _, x in full], pa.binary())], ["part", "hot", "packed"])
 
         size = docs_held = 0
         for _, raw in slices(batches, "text"):
             h, offsets = shingle_sets(raw)
             key, doc, place = prefixes(h, offsets, level)
-            held.append((key, doc + docs_held, place, classes(h, offsets), np.diff(offsets), signatures(h, offsets)))
+            held.append((key, doc + docs_held, place, classes(h, offsets), np.diff(offsets)))
             docs_held += len(raw)
             size += sum(map(len, raw))
             if size > POST_BYTES:
@@ -372,12 +374,11 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
                 m = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
                 count = np.frombuffer(x, dtype=np.int64, count=m, offset=8)
                 total = int(count.sum())
-                of_class = np.frombuffer(x, dtype=np.int64, count=6 * m, offset=8 * (1 + m))
-                key = np.frombuffer(x, dtype=np.int64, count=total, offset=8 * (1 + 7 * m))
-                place = np.frombuffer(x, dtype=np.int32, offset=8 * (1 + 7 * m + total))
-                cls, n = (np.repeat(v, count) for v in (of_class[:m], of_class[m: 2 * m]))
-                sign = np.repeat(of_class[2 * m:].reshape(m, 4), count, axis=0)
-                columns = [key, cls, n, n - place, *sign.T]
+                of_class = np.frombuffer(x, dtype=np.int64, count=2 * m, offset=8 * (1 + m))
+                key = np.frombuffer(x, dtype=np.int64, count=total, offset=8 * (1 + 3 * m))
+                place = np.frombuffer(x, dtype=np.int32, offset=8 * (1 + 3 * m + total))
+                cls, n = (np.repeat(v, count) for v in (of_class[:m], of_class[m:]))
+                columns = [key, cls, n, n - place]
                 if is_hot:
                     yield from rows(columns)
                 else:
@@ -397,14 +398,14 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, postings: float) -> DataFra
 
 def _mixed(lists: DataFrame, root: DataFrame) -> DataFrame:
     """(key, cls, n, root) of the keys whose lists hold more than one component."""
-    named = stored(lists.join(root.withColumnRenamed("id", "cls"), "cls", "left").select(*LIST_COLUMNS, F.coalesce("root", "cls").alias("root")), "named")
+    named = stored(lists.select(*LIST_COLUMNS).join(root.withColumnRenamed("id", "cls"), "cls", "left").select(*LIST_COLUMNS, F.coalesce("root", "cls").alias("root")), "named")
     mixed = stored(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
     out = stored(named.join(mixed, "key", "left_semi"), "mixed-lists")
     forget(named, mixed)
     return out
 
 
-def _across(lists: DataFrame) -> DataFrame:
+def _across(lists: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (q, c) of one list, of different components, whose sizes, places and signatures can link.
 
     Two sets that link do so at the first shingle they share too, where what stands behind it in either has to hold
@@ -413,8 +414,9 @@ def _across(lists: DataFrame) -> DataFrame:
     """
     fits = F.expr("l.key = r.key and l.root < r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)"
                   " and 7 * least(l.reach, r.reach) >= 3 * (l.n + r.n)"
-                  " and 7 * (" + " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(4)) + ") <= l.n + r.n")
-    return lists.alias("l").join(lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
+                  " and 7 * (" + " + ".join(f"bit_count(l.sign[{k}] ^ r.sign[{k}])" for k in range(4)) + ") <= l.n + r.n")
+    signed_lists = lists.join(reps.select("cls", "sign"), "cls")
+    return signed_lists.alias("l").join(signed_lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
 
 
 def text_key(text: str) -> Column:
@@ -432,10 +434,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: b
     """
     bounded_batches(docs.sparkSession)
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("key", text_key("text"))
-    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, parity binary, block int, counts binary, key long"), "summaries")
-    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "parity", "key")
+    rows = stored(src.mapInArrow(_summaries, "doc_id long, n long, cls long, least array<long>, sign array<long>, parity binary, block int, counts binary, key long"), "summaries")
+    known = rows.where("block is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"), "least", "sign", "parity", "key")
     sketch = _sum_sketch(rows.where("block is not null"))
-    reps = stored(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity")), "classes")
+    reps = stored(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("sign").alias("sign"), F.first("parity").alias("parity")), "classes")
 
     spots = reps.select("cls", F.posexplode("least").alias("k", "value"))
     pivot = stored(spots.groupBy("k", "value").agg(F.min("cls").alias("q"), F.max("cls").alias("most")).where("q <> most").drop("most"), "pivots")
@@ -449,16 +451,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: b
     lists = shared_keys(src, sketch, total / 4)
     root, found = first, [links]
     for turn in range(REPRESENTATIVE_ROUNDS):
+        # components only grow: a list of one component stays one, the next round reads the mixed ones alone
         mixed = _mixed(lists, root)
+        forget(lists)
+        lists = mixed
         one = mixed.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *LIST_COLUMNS[1:])).alias("m"))
-        pairs = stored(sieved(_across(one.select("key", "root", *[f"m.{c}" for c in LIST_COLUMNS[1:]])), reps), "pairs")
+        pairs = stored(sieved(_across(one.select("key", "root", *[f"m.{c}" for c in LIST_COLUMNS[1:]]), reps), reps), "pairs")
         more = links_of(pairs, reps, src)
-        forget(mixed, pairs)
+        forget(pairs)
         if more.isEmpty():
             break
         found.append(more)
         root = components(reduce(DataFrame.union, found))
-    rest = stored(sieved(_across(_mixed(lists, root)), reps), "rest")
+    mixed = _mixed(lists, root)
+    rest = stored(sieved(_across(mixed, reps), reps), "rest")
+    forget(lists, mixed)
     if not rest.isEmpty():
         found.append(links_of(rest, reps, src))
         root = components(reduce(DataFrame.union, found))
