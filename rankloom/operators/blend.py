@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import click_columns, click_trimmed, click_windowed, evaluate
+from rankloom.operators.metrics import click_columns, click_trimmed, click_windowed, evaluate, protocol_columns, user_pieces
 from rankloom.operators.ordering import DEFAULT_SKEW, Skew, by_weight
 from rankloom.operators.ranks import rank01, zscores
 from rankloom.session import checkpoint_dir
@@ -135,12 +135,16 @@ def greedy_blend(
     row_id: str = "row_id",
     weights: Sequence[float] = tuple(GREEDY_WEIGHTS),
     gain: float = GREEDY_GAIN,
+    skew: Skew = DEFAULT_SKEW,
 ) -> tuple[dict[str, float], float, DataFrame]:
     """Greedy forward selection over rank columns, one column per model.
 
     Each step scores every (model, weight) candidate in one plan and brings
     back one number per candidate.  Scan order is models, then weights, and a
-    candidate replaces the best so far only by more than ``gain``.
+    candidate replaces the best so far only by more than ``gain``.  Users whose
+    list times the candidates fits a task are spread by user and multiplied
+    there; the lists of the others are dealt out per candidate and ranked in
+    segments, so a user with a third of the log is nobody's single task.
     """
     checkpoint_dir(ranks.sparkSession)
     cols = [user, row_id, label, *models]
@@ -154,10 +158,14 @@ def greedy_blend(
             )
             for i, (m, w) in enumerate(candidates)
         ])
-        long = df.repartition(user).select(user, row_id, label, F.explode(cand).alias("_x")).select(
-            user, row_id, label, "_x.c", "_x._s"
-        )
-        got = evaluate(long, ["c"], user, label, "_s", [row_id]).select("c", "primary_score").collect()
+
+        def pieces(d: DataFrame, how: Skew | None) -> DataFrame:
+            long = d.select(user, row_id, label, F.explode(cand).alias("_x")).select(user, row_id, label, "_x.c", "_x._s")
+            return user_pieces(long, ["c", user], label, "_s", [row_id], skew=how)
+
+        per_user = Skew(max(1, skew.rows_per_task // len(candidates)))
+        both = by_weight(df, [user], lambda d: pieces(d.repartition(user), None), lambda d: pieces(d, skew), per_user)
+        got = both.groupBy("c").agg(*protocol_columns()).select("c", "primary_score").collect()
         return [v for _, v in sorted((r["c"], r["primary_score"]) for r in got)]
 
     base = ranks.select(*cols).withColumn("_cur", F.lit(0.0)).checkpoint()

@@ -66,6 +66,32 @@ def running_best(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return with_prev.withColumn("delta", F.col(value) - F.col("best_before")).drop("_upto")
 
 
+def run_log(plan: DataFrame, runs: DataFrame, records: DataFrame, series: str | None = None) -> DataFrame:
+    """The log of an experiment, one row per planned iteration, in one table.
+
+    ``plan`` and ``runs`` are those of ``compile_iterations``; ``records`` holds
+    ``name`` and any of ``hypothesis_text, note, error, recovery``.  A run's metric
+    is ``primary``, else ``valid_primary``, else ``test_primary``, of those its
+    table has.  Columns: iter, hypothesis, best_run, primary, best_before, delta,
+    is_best, sub_runs, missing, wall_seconds_total, outcome.  ``series`` names a
+    column of ``plan`` that tells several experiments apart.
+    """
+    metrics = [c for c in ("primary", "valid_primary", "test_primary") if c in runs.columns]
+    known = runs.select("name", "wall_seconds", primary_of(*[F.col(c) for c in metrics]).alias("primary"))
+    keys = [series] if series else []
+    base = plan if series else plan.withColumn("_series", F.lit("all"))
+    own = base.select("iter", *(keys or ["_series"])).distinct()
+    compiled = compile_iterations(plan.drop(*keys), known).join(own, "iter")
+    texts = [c for c in ("hypothesis_text", "note", "error", "recovery") if c in records.columns]
+    tagged = records.select(F.col("name").alias("best_run"), outcome(*texts).alias("outcome"))
+    ranked = running_best(compiled, keys or ["_series"], "iter", "primary")
+    out = ranked.join(tagged, "best_run", "left").withColumn("is_best", F.coalesce(F.col("primary") > F.coalesce("best_before", F.lit(float("-inf"))), F.lit(False)))
+    return out.select(
+        *keys, "iter", "hypothesis", "best_run", "primary", "best_before", "delta", "is_best", "sub_runs", "missing", "wall_seconds_total",
+        F.coalesce("outcome", F.lit("")).alias("outcome"),
+    )
+
+
 def converged(
     df: DataFrame, keys: Sequence[str], order: str, value: str, eps: float, window: int, floor: int = 0
 ) -> DataFrame:

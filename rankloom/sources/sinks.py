@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,13 +75,59 @@ def write_meta(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def is_prepared(spark: SparkSession, path: str, splits: Sequence[str]) -> bool:
-    """A complete feature table: the job's success marker and a folder per split."""
-    return exists(spark, f"{path}/_SUCCESS") and all(exists(spark, f"{path}/split={s}") for s in splits)
+def source_state(spark: SparkSession, path: str) -> str:
+    """Digest of the names, lengths and times of the files under a path: it changes when any is rewritten.
 
+    Only the listing is read, by the session's own file system.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(hadoop, True), []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()
+        if not f.getPath().getName().startswith(("_", ".")):
+            files.append(f"{name}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()
+
+
+def manifest_of(spark: SparkSession, columns: Sequence[str], mode: str, pool: Sequence[int], sources: Sequence[str]) -> dict:
+    """What a prepared table was made of: its columns, statistics mode and pool, and the state of its sources."""
+    return {"columns": sorted(columns), "mode": mode, "pool": list(pool), "sources": {p: source_state(spark, p) for p in sorted(sources)}}
+
+
+def _manifest_file(path: str) -> str:
+    return f"{path}/_manifest"  # hidden from readers of the table
 
-def ensure_prepared(spark: SparkSession, path: str, splits: Sequence[str], build, force: bool = False) -> DataFrame:
-    """Read the prepared table, building it first where it is missing or incomplete."""
-    if force or not is_prepared(spark, path, splits):
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest stored with a table, or None."""
+    if not exists(spark, _manifest_file(path)):
+        return None
+    rows = spark.read.text(f"{_manifest_file(path)}/part-*").collect()
+    return json.loads(rows[0][0]) if rows else None
+
+
+def is_prepared(spark: SparkSession, path: str, splits: Sequence[str], manifest: dict | None = None) -> bool:
+    """A complete feature table: the job's success marker and a folder per split.
+
+    With ``manifest``, it also has to be the one stored with the table, and its
+    columns have to be in the files: a table of other columns, mode, pool or
+    sources is stale.
+    """
+    if not (exists(spark, f"{path}/_SUCCESS") and all(exists(spark, f"{path}/split={s}") for s in splits)):
+        return False
+    if manifest is None:
+        return True
+    return read_manifest(spark, path) == manifest and set(manifest["columns"]) <= set(spark.read.parquet(path).columns)
+
+
+def ensure_prepared(
+    spark: SparkSession, path: str, splits: Sequence[str], build, force: bool = False, manifest: dict | None = None
+) -> DataFrame:
+    """Read the prepared table, building it first where it is missing, incomplete or stale."""
+    if force or not is_prepared(spark, path, splits, manifest):
         write_features(build(), path)
+        if manifest is not None:
+            spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(_manifest_file(path))
     return spark.read.parquet(path)

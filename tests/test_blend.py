@@ -136,3 +136,27 @@ def test_bootstrap_draws_are_those_of_plain_python(spark):
             assert got[rep, s]["gauc"] == pytest.approx(gauc, abs=1e-12)
             assert got[rep, s]["ndcg_at_5"] == pytest.approx(sum(r["ndcg"] for r in mine) / n, abs=1e-12)
             assert got[rep, s]["row_count"] == sum(r["n"] for r in mine)
+
+
+def test_greedy_blend_with_a_hot_user_takes_the_other_road(spark):
+    """Two steps by brute force, and the same result when every user is too large for a task."""
+    df = scored(spark)
+    kinds = [B.greedy_blend(df, ["a", "b", "c"], "user_id", "y", weights=(0.25, 0.5), skew=s) for s in (B.DEFAULT_SKEW, B.Skew(rows_per_task=6))]
+    assert kinds[0][0] == pytest.approx(kinds[1][0]) and kinds[0][1] == pytest.approx(kinds[1][1], abs=1e-12)
+    pdf = df.toPandas()
+    singles = {m: primary(spark, pdf, pdf[m]) for m in "abc"}
+    start = max(singles, key=singles.get)
+    cur, best, mix = pdf[start], singles[start], {start: 1.0}
+    while True:
+        chosen = None
+        for m in "abc":
+            for w in (0.25, 0.5):
+                s = primary(spark, pdf, (1 - w) * cur + w * pdf[m])
+                if s > best + 1e-5:
+                    best, chosen = s, (m, w)
+        if chosen is None:
+            break
+        m, w = chosen
+        cur, mix = (1 - w) * cur + w * pdf[m], {k: v * (1 - w) for k, v in mix.items()}
+        mix[m] = mix.get(m, 0.0) + w
+    assert kinds[0][1] == pytest.approx(best, abs=1e-9) and kinds[0][0] == pytest.approx(mix)

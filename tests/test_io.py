@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import checks as C
 from rankloom.operators import encode as E
-from rankloom.operators import learners as L
 from rankloom.operators import runs as R
 from rankloom.operators import splits as P
 from rankloom.plans import features as X
@@ -179,25 +178,6 @@ def test_running_best_and_stop_rule(spark):
     assert [r["stale"] for r in R.stale_runs(df, ["k"], "i", "v", 0.0005).orderBy("i").collect()] == [0, 0, 1, 2, 3, 4]
 
 
-def test_boosted_trees_beat_popularity_on_a_planted_signal(spark):
-    import numpy as np
-
-    from rankloom.operators import metrics as M
-    from rankloom.operators import stats as S
-
-    r = np.random.default_rng(0)
-    u, v = np.meshgrid(np.arange(120), np.arange(20), indexing="ij")
-    a, b = r.normal(size=120), r.normal(size=20)
-    p = 1 / (1 + np.exp(-4 * a[u] * b[v]))
-    pdf = pd.DataFrame({"user_id": u.ravel(), "video_id": v.ravel(), "row_id": range(u.size), "ua": a[u].ravel(), "vb": b[v].ravel(),
-                        "y": (r.random(u.size) < p.ravel()).astype(int), "split": np.where(r.random(u.size) < 0.7, "train", "valid")})
-    df = spark.createDataFrame(pdf)
-    tr, va = df.where("split = 'train'"), df.where("split = 'valid'")
-    model = L.gbt_pipeline([], ["ua", "vb"], "y", iterations=6, depth=3, lr=0.3).fit(tr)
-    score = lambda d: M.evaluate(d, ["split"], "user_id", "y", "score", ["row_id"]).first()["primary_score"]
-    assert score(L.predict(model, va)) > score(S.score_popularity(va, tr, "video_id", "y")) + 0.05
-
-
 def test_csv_binds_by_name_and_refuses_missing_columns(spark, tmp_path):
     (tmp_path / "x.csv").write_text("video_id,user_id\n11,1\nbad,2\n")
     schema = "user_id BIGINT, video_id BIGINT"
@@ -215,3 +195,46 @@ def test_alignment_holds_when_the_score_is_not_read(spark):
     with pytest.raises(Exception, match="do not align"):
         C.attach_scores(rows, scores, "s").select("row_id").collect()
     assert C.attach_scores(rows, spark.createDataFrame([(2, 0.5), (1, 0.2)], "row_id long, s double"), "s").count() == 2
+
+
+def test_a_stale_prepared_table_is_built_again(spark, tmp_path):
+    """Other columns, mode, pool or sources make a stored table stale; the same ones do not."""
+    source = f"{tmp_path}/source"
+    spark.range(3).write.parquet(source)
+    path, built = f"{tmp_path}/features", []
+
+    def build(columns=("x",)):
+        def run():
+            built.append(1)
+            return spark.range(4).selectExpr("id AS row_id", "id AS user_id", *[f"id AS {c}" for c in columns], "if(id < 2, 'train', 'valid') AS split")
+        return run
+
+    def ensure(columns=("x",), mode="past", pool=(1, 9)):
+        m = sinks.manifest_of(spark, columns, mode, pool, [source])
+        return sinks.ensure_prepared(spark, path, ["train", "valid"], build(columns), manifest=m)
+
+    assert ensure().count() == 4 and len(built) == 1
+    assert ensure().count() == 4 and len(built) == 1
+    ensure(mode="loo")
+    ensure(mode="loo", pool=(1, 8))
+    assert "y" in ensure(("x", "y"), "loo", (1, 8)).columns and len(built) == 4
+    ensure(("x", "y"), "loo", (1, 8))
+    assert len(built) == 4
+    spark.range(9).write.mode("overwrite").parquet(source)
+    ensure(("x", "y"), "loo", (1, 8))
+    assert len(built) == 5
+    assert sinks.read_manifest(spark, f"{tmp_path}/none") is None
+
+
+def test_run_log_joins_metrics_outcomes_and_the_best_before(spark):
+    from rankloom.operators.runs import run_log
+
+    plan = spark.createDataFrame([(1, "h1", "a", 1), (2, "h2", "b", 1), (2, "h2", "c", 2), (3, "h3", "d", 1)], "iter int, hypothesis string, name string, no int")
+    runs = spark.createDataFrame([("a", None, 0.5, 10.0), ("b", 0.6, 0.1, 20.0), ("c", 0.6, None, 5.0)], "name string, primary double, valid_primary double, wall_seconds double")
+    records = spark.createDataFrame([("a", "a negative result", None), ("b", "confirmed", "ERROR then recovery")], "name string, note string, error string")
+    got = {r["iter"]: r for r in run_log(plan, runs, records).collect()}
+    assert [got[i]["best_run"] for i in (1, 2, 3)] == ["a", "b", "d"]
+    assert got[1]["primary"] == 0.5 and got[1]["best_before"] is None and got[1]["outcome"] == "NEGATIVE"
+    assert got[2]["best_before"] == 0.5 and got[2]["is_best"] and got[2]["wall_seconds_total"] == 25.0
+    assert got[2]["outcome"] == "ERROR / RECOVERY / CONFIRMED"
+    assert got[3]["missing"] == 1 and not got[3]["is_best"] and got[3]["outcome"] == ""
