@@ -140,3 +140,47 @@ def test_both_ways_to_the_weights_agree(pairs):
         if k[0] % 2 == 0:
             assert abs(solved.get(k, 0.0) - w) < 1e-6
     assert sets["b"].count() > 0
+
+
+def test_ease_queries_equal_numpy(spark):
+    """Both ridge queries over whole tables against dense algebra: two phases, three strengths, two labels."""
+    import __spark_entry__ as entry
+    from rankloom.sources.views import impressions
+
+    sf = "/root/testdata/sf0.001"
+    imp = impressions(spark, sf).select("row_id", "split", "user_id", "video_id", "date", "long_view", "is_click").toPandas()
+    train = imp[imp.split == "train"]
+    days = sorted(train.date.unique())
+    cut = days[len(days) // 2]
+
+    def score(rows, pool, label, lam):
+        """(sum, mean) per row of the weights of the user's positives for the row's item."""
+        pos = pool[pool[label] == 1][["user_id", "video_id"]].drop_duplicates()
+        items = {v: i for i, v in enumerate(sorted(pos.video_id.unique()))}
+        users = {u: i for i, u in enumerate(pos.user_id.unique())}
+        x = np.zeros((len(users), len(items)))
+        x[pos.user_id.map(users), pos.video_id.map(items)] = 1
+        p = np.linalg.inv(x.T @ x + lam * np.eye(len(items)))
+        b = -p / np.diag(p)
+        np.fill_diagonal(b, 0)
+        out = {}
+        for r in rows.itertuples():
+            h = x[users[r.user_id]] if r.user_id in users else np.zeros(len(items))
+            s = float(h @ b[:, items[r.video_id]]) if r.video_id in items else 0.0
+            out[r.row_id] = (s, s / max(1.0, h.sum()))
+        return out
+
+    def two_phase(label, lam):
+        late = train[train.date >= cut]
+        zero = {i: (0.0, 0.0) for i in train[train.date < cut].row_id}
+        return zero | score(late, train[train.date < cut], label, lam) | score(imp[imp.split != "train"], train, label, lam)
+
+    want = two_phase("long_view", 250.0)
+    got = {r["row_id"]: (r["ease_sum"], r["ease_mean"]) for r in entry.queries()["ease_score"](spark, sf).collect()}
+    assert set(got) == set(want) and max(abs(a - b) for i in want for a, b in zip(got[i], want[i])) < 2e-6
+    kinds = {"ease50_mean": ("long_view", 50.0), "ease1000_mean": ("long_view", 1000.0), "easeclk_mean": ("is_click", 250.0)}
+    all_of_them = entry.queries()["ease_variants"](spark, sf).collect()
+    for name, (label, lam) in kinds.items():
+        want = two_phase(label, lam)
+        got = {r["row_id"]: r["score"] for r in all_of_them if r["variant"] == name}
+        assert set(got) == set(want) and max(abs(got[i] - want[i][1]) for i in want) < 2e-6
