@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_ranked_search": ranked.SQL}
+    return {"op12_ranked_search": ranked.SQL, "op13_suffix_dedup": repeats.SQL}

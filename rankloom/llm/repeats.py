@@ -444,3 +444,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", sort_bytes: int = SORT_B
         work, f"{schema}, spans array<struct<start:bigint,end:bigint>>, kept binary")
     plain = [F.col("text" if c == text else f"_c{i}").alias(c) for i, c in enumerate(others)]
     return out.select(*plain, "spans", "kept")
+
+
+#: The query in SQL: a 64-bit hash of the string at every start, in chunks of 512 starts.
+SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ c AS (SELECT r, n, j, substring(x, 1024 * j + 1, 1424) AS y FROM (SELECT r, x, len(x) // 2 AS n, unnest(range(0, len(x) // 1024 + 1)) AS j FROM d)),
+ s AS (SELECT r, 512 * j + o AS i, hash(substring(y, 2 * o + 1, 400)) AS h FROM (SELECT r, j, y, unnest(range(0, least(512, n - 199 - 512 * j))) AS o FROM c)),
+ t AS (SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+ g AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM (
+   SELECT r, i, CAST(i - lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) > 200 AS INTEGER) AS fresh FROM t)) GROUP BY r, k),
+ k AS (SELECT r, count(*) - 1 AS n_spans, sum(b - a) AS kept, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS y FROM (
+   SELECT r, x, coalesce(lag(e) OVER (PARTITION BY r ORDER BY f, e), 0) AS a, f AS b FROM (
+     SELECT r, x, g.a AS f, g.b AS e FROM d JOIN g USING (r) UNION ALL SELECT r, x, len(x) // 2, 1000000000000 FROM d)) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(len(x) // 2 - kept AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM d JOIN k USING (r)"""

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from oracle import compare, connect
+from rankloom.llm import queries as Q
 from rankloom.llm import repeats
 
 
@@ -110,3 +112,9 @@ def test_only_wanted_suffixes_are_sorted():
     mine = order[wanted[order]]
     raw = buf.tobytes()
     assert [raw[i:i + 200] for i in mine] == sorted(raw[i:i + 200] for i in range(100, 300))
+
+
+def test_query_matches_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    ok, message = compare(spark, connect(sf), "op13_suffix_dedup", Q.op13_suffix_dedup, repeats.SQL, sf)
+    assert ok, message
