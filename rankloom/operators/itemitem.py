@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordering import Skew, by_weight
-
 # Item pairs one task may combine per batch of a user slice (memory bound, not a cut-off).
 PAIR_BATCH = 2_000_000
 
@@ -155,21 +153,22 @@ def cosine(pairs: DataFrame, user: str = "user_id", item: str = "video_id") -> D
     )
 
 
-# A user with more impressions than this is scored by expanding the history instead.
-WIDE_LISTS = Skew(rows_per_task=5_000)
+# A user whose candidates times history exceed this is scored by expanding the history instead.
+PRODUCT = 10_000_000
 
 
 def history_score(
     rows: DataFrame, pairs: DataFrame, sim: DataFrame, user: str = "user_id", item: str = "video_id",
-    skew: Skew = WIDE_LISTS,
+    product: int = PRODUCT,
 ) -> DataFrame:
     """Add ``cf_sum``, ``cf_mean`` and ``u_hist_cnt``.
 
     cf_sum adds the similarity of the row's item to every item of the user's
-    history.  Rows are first reduced to distinct (user, item) candidates.  A
-    short list looks its candidates up against the history.  A long one would
-    meet its history in a product, so there the history is expanded by the
-    stored similarities, summed by (user, item) map-side, and met by key.
+    history.  Rows are first reduced to distinct (user, item) candidates.  They
+    are looked up against the user's history, a product that no task may own
+    where both are long: the histories of users whose product exceeds ``product``
+    are expanded by the stored similarities of the items they are candidates
+    for, joined by item, summed by (user, item) map-side, and met by key.
     """
     cand = rows.select(user, item).distinct()
     history = pairs.select(user, F.col(item).cast("long").alias("item_j"))
@@ -185,12 +184,18 @@ def history_score(
         )
 
     def expanded(c: DataFrame) -> DataFrame:
-        mine = history.join(c.select(user).distinct(), user, "left_semi")
-        summed = mine.join(weights, "item_j").groupBy(user, "item_i").agg(F.sum("w").alias("cf_sum"))
         keyed = c.withColumn("item_i", F.col(item).cast("long"))
+        mine = history.join(c.select(user).distinct(), user, "left_semi")
+        asked = weights.join(keyed.select("item_i").distinct(), "item_i", "left_semi")
+        summed = mine.join(asked, "item_j").groupBy(user, "item_i").agg(F.sum("w").alias("cf_sum"))
         return keyed.join(summed, [user, "item_i"]).select(user, item, "cf_sum")
 
-    found = by_weight(cand, [user], looked_up, expanded, skew, probe=rows)
+    sizes = cand.groupBy(user).agg(F.count(F.lit(1)).alias("_c")).join(pairs.groupBy(user).agg(F.count(F.lit(1)).alias("_h")), user)
+    wide = sizes.where(F.col("_c") * F.col("_h") > product).select(user)
+    if wide.isEmpty():
+        found = looked_up(cand)
+    else:
+        found = looked_up(cand.join(wide, user, "left_anti")).unionByName(expanded(cand.join(wide, user, "left_semi")))
     sizes = pairs.groupBy(user).agg(F.count(F.lit(1)).alias("u_hist_cnt"))
     out = rows.join(found, [user, item], "left").join(sizes, user, "left")
     out = out.withColumns(

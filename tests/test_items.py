@@ -71,12 +71,10 @@ def test_ease_weights_and_score(spark, pairs):
 
 
 def test_long_lists_are_scored_alike(spark, pairs):
-    from rankloom.operators.ordering import Skew
-
     df, m = pairs
     rows = spark.createDataFrame([(u * 100 + v, u, v) for u in (0, 1, 40) for v in range(0, 22, 2 + u % 2)], "row_id int, user_id bigint, video_id bigint")
     sim = I.cosine(df)
-    a = {r["row_id"]: r["cf_sum"] for r in I.history_score(rows, df, sim, skew=Skew(rows_per_task=8)).collect()}
+    a = {r["row_id"]: r["cf_sum"] for r in I.history_score(rows, df, sim, product=8).collect()}
     b = {r["row_id"]: r["cf_sum"] for r in I.history_score(rows, df, sim).collect()}
     assert a == pytest.approx(b) and len(a) == rows.count()
 
