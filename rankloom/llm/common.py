@@ -5,6 +5,7 @@ A document id may be repeated (each row is then judged on its own) and any colum
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows go to Python in batches of about ``size`` bytes, however long their texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
@@ -72,7 +73,27 @@ def hashed_below(rows: Column, count: Column | int, wanted: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows in runs of about ``limit`` bytes of text (one row at least), with the texts as bytes, null as empty."""
+    """Rows in runs of about ``limit`` bytes of text (one row at least), with the texts as bytes, null as empty.
+
+    At the end of a task its memory goes back to the system: workers live on, and what each kind of task has needed
+    would add up in them.
+    """
+    try:
+        yield from _slices(batches, text, limit)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         if pa.types.is_null(col.type):

@@ -47,7 +47,7 @@ REPRESENTATIVE_ROUNDS = 3
 #: Candidates of a query that one search takes.
 CHUNK = 256
 #: Text whose postings a task sends off together.
-POST_BYTES = 8 << 20
+POST_BYTES = 4 << 20
 #: Postings that one task indexes.
 POSTINGS_PER_TASK = 1_500_000
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import hashed_below, slices, stored
+from rankloom.llm.common import give_back, hashed_below, slices, stored
 
 #: Bounds of the sample that the dictionaries are fitted on, per language.
 SAMPLE_TEXTS = 96
@@ -140,6 +140,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 [part["doc_id"], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_()),
                  *(part[f"kept_{k}"] for k in range(len(keep)))],
                 ["doc_id", "lang_pred", "score", "margin", "rejected", *(f"kept_{k}" for k in range(len(keep)))])
+        _compressors.cache_clear()  # their workspaces are large, and the worker goes on to other tasks
+        give_back()
 
     src = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"kept_{k}") for k, c in enumerate(keep)))
     kinds = dict(docs.dtypes)
