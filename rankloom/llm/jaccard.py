@@ -9,8 +9,9 @@ needs an overlap of T(x, y) = ceil(3 (|x| + |y|) / 7). All links between differe
    grows with its members, not with their square.
 3. Prefixes: two sets that link share one of the n - ceil(0.75 n) + 1 first shingles of each in any common order,
    and at the first they share both have T shingles left; here the seldom ones come first, by a sketch of counts. Shingles whose lists hold a single component are done. In
-   the others first one member of each component is compared with those of the other components, in rounds while
-   that joins any; at last each pair of classes that still lie in different components is, so no link is missed.
+   the others first one member of each component is compared with the list's hub, the member with the fewest seldom
+   shingles, in rounds while that joins any; at last each pair of classes that still lie in different components is,
+   so no link is missed.
    Pairs whose shingles' parities by bucket show too large a difference fall out before their texts move.
 4. Comparison: each query class searches the lists of its candidates for those that occur T times. The longest lists
    are set aside, the short ones merged with a heap that skips what cannot reach T, and who remains is looked up in
@@ -42,8 +43,10 @@ SKETCH_BLOCKS = 64
 HOT_FACTOR = 8
 #: Buckets of document ids that let most texts be left behind before the exact join.
 FILTER_BUCKETS = 1 << 20
-#: Rounds in which each component of a list sends one member only.
-REPRESENTATIVE_ROUNDS = 3
+#: Rounds in which each component of a list sends one member only, to the list's hub.
+HUB_ROUNDS = 4
+#: 64-bit numbers of a signature.
+SIGN_LONGS = 8
 #: Candidates of a query that one search takes.
 CHUNK = 256
 #: Text whose postings a task sends off together.
@@ -96,17 +99,17 @@ def classes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """For each of 64 or more buckets (the power of two from the set's size on) whether it holds an odd number."""
-    size = 1 << max(6, int(len(h) - 1).bit_length())
+    """For each of 256 or more buckets (the power of two from the set's size on) whether it holds an odd number."""
+    size = 1 << max(8, int(len(h) - 1).bit_length())
     return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per set, for 256 buckets, whether each holds an odd number: four 64-bit numbers."""
-    many = len(offsets) - 1
+    """Per set, for 64 * ``SIGN_LONGS`` buckets, whether each holds an odd number, as 64-bit numbers."""
+    many, size = len(offsets) - 1, 64 * SIGN_LONGS
     doc = np.repeat(np.arange(many), np.diff(offsets))
-    odd = np.bincount(doc * 256 + (h & np.uint64(255)).astype(np.int64), minlength=many * 256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(many, 4)
+    odd = np.bincount(doc * size + (h & np.uint64(size - 1)).astype(np.int64), minlength=many * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(many, SIGN_LONGS)
 
 
 def may_link(a: bytes, b: bytes, n: int) -> bool:
@@ -150,11 +153,11 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(offsets)
         least = np.stack([signed(_by_doc(np.minimum, mix(h ^ s), offsets)) for s in PIVOT_SEEDS], axis=1).reshape(-1)
         ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(PIVOT_SEEDS))
-        four = pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4)
+        longs = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SIGN_LONGS)
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [part["doc_id"], pa.array(n.astype(np.int64)), pa.array(classes(h, offsets), mask=n == 0), pa.ListArray.from_arrays(ends, pa.array(least)),
-             pa.ListArray.from_arrays(four, pa.array(signatures(h, offsets).reshape(-1))),
+             pa.ListArray.from_arrays(longs, pa.array(signatures(h, offsets).reshape(-1))),
              pa.array([parity(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *nothing, part["key"]], names)
     blocks = [x.tobytes() for x in np.split(sketch, SKETCH_BLOCKS)]
     none = [pa.nulls(SKETCH_BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
@@ -405,18 +408,38 @@ def _mixed(lists: DataFrame, root: DataFrame) -> DataFrame:
     return out
 
 
-def _across(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (q, c) of one list, of different components, whose sizes, places and signatures can link.
+def _paired(left: DataFrame, right: DataFrame, order: str, more: str = "") -> DataFrame:
+    """The pairs (q, c) of one list, of different components (``order`` compares their roots), whose sizes and places can link.
 
     Two sets that link do so at the first shingle they share too, where what stands behind it in either has to hold
     the overlap; so a passage that many texts hold as their most frequent part pairs none of them.
+    """
+    fits = F.expr(f"l.key = r.key and l.root {order} r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)"
+                  f" and 7 * least(l.reach, r.reach) >= 3 * (l.n + r.n){more}")
+    return left.alias("l").join(right.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
+
+
+def _to_hubs(mixed: DataFrame, turn: int) -> DataFrame:
+    """The pairs (q, c) of one member of each component of a list and the list's hub: no more than rows of lists.
+
+    Seldom shingles come first, so who has fewest of them ahead of the list's own has fewest that the others lack: it
+    stands nearest to the middle of a group of near copies and links with what any member links with, mostly. It is
+    the first turn's hub; later turns take others, in the same order of hashes in all lists.
+    """
+    h = F.xxhash64("cls", F.lit(turn)) if turn else F.col("n") - F.col("reach")
+    members = mixed.groupBy("key", "root").agg(F.min(F.struct(h.alias("h"), *LIST_COLUMNS[1:])).alias("m")).select("key", "root", "m.*")
+    hubs = members.groupBy("key").agg(F.min(F.struct("h", "cls", "n", "reach", "root")).alias("m")).select("key", "m.*")
+    return _paired(hubs, members, "<>")
+
+
+def _across(lists: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (q, c) of one list, of different components, whose sizes, places and signatures can link.
+
     Every bucket of different parity holds a shingle of only one set, and links differ by a seventh at most.
     """
-    fits = F.expr("l.key = r.key and l.root < r.root and 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)"
-                  " and 7 * least(l.reach, r.reach) >= 3 * (l.n + r.n)"
-                  " and 7 * (" + " + ".join(f"bit_count(l.sign[{k}] ^ r.sign[{k}])" for k in range(4)) + ") <= l.n + r.n")
     signed_lists = lists.join(reps.select("cls", "sign"), "cls")
-    return signed_lists.alias("l").join(signed_lists.alias("r"), fits).select(F.col("l.cls").alias("q"), F.col("r.cls").alias("c")).distinct()
+    odd = " + ".join(f"bit_count(l.sign[{k}] ^ r.sign[{k}])" for k in range(SIGN_LONGS))
+    return _paired(signed_lists, signed_lists, "<", f" and 7 * ({odd}) <= l.n + r.n")
 
 
 def text_key(text: str) -> Column:
@@ -450,13 +473,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", members: b
     total = reps.agg(F.sum("n")).first()[0] or 0
     lists = shared_keys(src, sketch, total / 4)
     root, found = first, [links]
-    for turn in range(REPRESENTATIVE_ROUNDS):
+    for turn in range(HUB_ROUNDS):
         # components only grow: a list of one component stays one, the next round reads the mixed ones alone
         mixed = _mixed(lists, root)
         forget(lists)
         lists = mixed
-        one = mixed.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *LIST_COLUMNS[1:])).alias("m"))
-        pairs = stored(sieved(_across(one.select("key", "root", *[f"m.{c}" for c in LIST_COLUMNS[1:]]), reps), reps), "pairs")
+        pairs = stored(sieved(_to_hubs(mixed, turn), reps), "pairs")
         more = links_of(pairs, reps, src)
         forget(pairs)
         if more.isEmpty():

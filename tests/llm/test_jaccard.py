@@ -111,3 +111,25 @@ def test_parities_never_drop_a_link(a, both, b):
     if 7 * len(a ^ b) <= len(a) + len(b):
         assert jaccard.may_link(pack(a), pack(b), len(a) + len(b))
     assert jaccard.may_link(pack(a), pack(a), 2 * len(a))
+
+
+def test_large_group_takes_few_pairs(spark, monkeypatch):
+    """Near copies around one text, many of them not linked with one another: pairs grow with the group, not its square."""
+    r = random.Random(11)
+    base = ["b%d" % k for k in range(150)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 3, 4, 4, 4, 5, 5, 6])):
+            text[at] = "u%d" % r.randrange(10**9)
+        rows.append((k, " ".join(text)))
+    made = []
+
+    def counted(pairs, reps, f=jaccard.sieved):
+        made.append(pairs.count())
+        return f(pairs, reps)
+
+    monkeypatch.setattr(jaccard, "sieved", counted)
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(made) < 5 * len(rows)
