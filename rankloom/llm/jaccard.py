@@ -44,7 +44,7 @@ HOT_FACTOR = 8
 #: Buckets of document ids that let most texts be left behind before the exact join.
 FILTER_BUCKETS = 1 << 20
 #: Rounds in which each component of a list sends one member only, to the list's hub.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
 #: 64-bit numbers of a signature.
 SIGN_LONGS = 8
 #: Candidates of a query that one search takes.
@@ -428,7 +428,8 @@ def _to_hubs(mixed: DataFrame, turn: int) -> DataFrame:
     """
     h = F.xxhash64("cls", F.lit(turn)) if turn else F.col("n") - F.col("reach")
     members = mixed.groupBy("key", "root").agg(F.min(F.struct(h.alias("h"), *LIST_COLUMNS[1:])).alias("m")).select("key", "root", "m.*")
-    hubs = members.groupBy("key").agg(F.min(F.struct("h", "cls", "n", "reach", "root")).alias("m")).select("key", "m.*")
+    # of the lists as they are stored, by key, so that most is combined before it moves
+    hubs = mixed.groupBy("key").agg(F.min(F.struct(h.alias("h"), *LIST_COLUMNS[1:], "root")).alias("m")).select("key", "m.*")
     return _paired(hubs, members, "<>")
 
 
