@@ -160,3 +160,28 @@ def test_greedy_blend_with_a_hot_user_takes_the_other_road(spark):
         cur, mix = (1 - w) * cur + w * pdf[m], {k: v * (1 - w) for k, v in mix.items()}
         mix[m] = mix.get(m, 0.0) + w
     assert kinds[0][1] == pytest.approx(best, abs=1e-9) and kinds[0][0] == pytest.approx(mix)
+
+
+def test_draws_made_in_tasks_are_those_of_the_columns(spark):
+    """Numbers of every length hash alike in numpy and in Spark."""
+    from rankloom.functions.hashing import hash32, hash32_numbers
+
+    numbers = sorted({10**k + d for k in range(12) for d in (-1, 0, 7)})
+    want = spark.createDataFrame([(a, b) for a in numbers for b in (0, 9, 10, 1999)], "a long, b long").withColumn("h", hash32("a", "b")).toPandas()
+    assert (hash32_numbers(want["a"].to_numpy(), want["b"].to_numpy()) == want["h"].to_numpy()).all()
+    assert (hash32_numbers(5, want["a"].to_numpy(), want["b"].to_numpy())[:2] == [r["h"] for r in spark.createDataFrame(
+        [(5, 0, 0), (5, 0, 9)], "x long, a long, b long").select(hash32("x", "a", "b").alias("h")).collect()]).all()
+
+
+def test_bootstrap_spreads_draws_over_tasks_and_spans(spark, monkeypatch):
+    """Few bytes of users make many draws: both levels run in as many tasks as draws ask for, whatever their spans."""
+    want = {tuple(r) for r in T.paired_resamples(pieces(spark), ["split"], "user_id", 5, block=3).collect()}
+    for name, value in (("SPAN", 7), ("DRAWS_PER_TASK", 10), ("USERS_PER_GROUP", 6), ("_AT_ONCE", 4)):
+        monkeypatch.setattr(T, name, value)
+    cut = T.paired_resamples(pieces(spark), ["split"], "user_id", 5, block=3)
+    got = {tuple(r) for r in cut.collect()}
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[3:] == pytest.approx(b[3:], abs=1e-12)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3  # not merged by the size of what they read
