@@ -58,3 +58,27 @@ def test_raw_side_columns_give_aspect_and_age(spark, log):
         assert r["aspect"] == s["server_width"] / max(1, s["server_height"])
         age = (datetime.strptime(str(r["date"]), "%Y%m%d") - datetime(2023, 12, 30)).days if s["video_id"] % 5 else None
         assert r["upload_age"] == age
+
+
+def exchanges(plan):
+    """(partitioning, columns) of every exchange below a plan node."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    own = [(plan.outputPartitioning().toString(), plan.output().size())] if plan.nodeName() == "Exchange" else []
+    children = plan.children()
+    return own + [x for i in range(children.size()) for x in exchanges(children.apply(i))]
+
+
+def test_columns_of_a_group_move_by_row_id_alone(spark):
+    """No exchange by a user's or an item's key carries what other groups have made."""
+    from rankloom.catalog import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = queries()["feature_table"](spark, SF)
+        moved = exchanges(table._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_key = [n for how, n in moved if how.startswith("hashpartitioning") and not how.startswith("hashpartitioning(row_id")]
+    assert len(by_key) > 20 and max(by_key) <= 16
